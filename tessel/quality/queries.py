@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..tables import table
-from . import differences, hotkeys, orphans
+from . import differences, drift, hotkeys, orphans, parsing
 
 MANIFEST_FIELDS = [
     "schema_version", "input_key", "input_size", "input_e_tag", "input_last_modified", "row_count", "content_digest",
@@ -44,7 +44,31 @@ def p6_summary(spark: SparkSession, d: str) -> DataFrame:
     return p6_found(spark, d).groupBy("dataset", "difference").agg(F.count("*").alias("n_rows"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_report, p5_found, p5_per_key, p6_found, p6_summary)}
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return parsing.failures(parsing.parse_records(table(spark, d, "malformed")))
+
+
+def p3_loaded(spark: SparkSession, d: str) -> DataFrame:
+    return parsing.loaded(parsing.parse_records(table(spark, d, "malformed")))
+
+
+def p3_report(spark: SparkSession, d: str) -> DataFrame:
+    return parsing.failure_report(parsing.parse_records(table(spark, d, "malformed")))
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return drift.changes(table(spark, d, "manifest_lines"))
+
+
+def p4_table(spark: SparkSession, d: str) -> DataFrame:
+    return drift.one_table(table(spark, d, "manifest_lines"))
+
+
+def p4_alternatives(spark: SparkSession, d: str) -> DataFrame:
+    return drift.alternatives(table(spark, d, "manifest_lines"))
+
+
+QUERIES = {f.__name__: f for f in (p2_found, p2_report, p3_found, p3_loaded, p3_report, p4_found, p4_table, p4_alternatives, p5_found, p5_per_key, p6_found, p6_summary)}
 
 _P2 = """
 WITH o AS (SELECT id, min(loaded_at) AS first_at, min(deleted_at) AS gone_at FROM shop_orders WHERE id IS NOT NULL GROUP BY id),
@@ -78,7 +102,33 @@ _P6 = " UNION ALL ".join(
     ]
 )
 
+_FIELD = '(?:"(?:[^"]|"")*"|[^",]*)'
+_P3 = f"""
+WITH h AS (SELECT file_no, raw, len(raw) - len(replace(raw, ',', '')) AS commas FROM malformed WHERE line_no = 1),
+r AS (
+  SELECT m.record_id, m.file_no, m.line_no, m.raw, h.commas AS want, h.raw AS head,
+    regexp_full_match(m.raw, '{_FIELD}(?:,{_FIELD})*', 's') AS proper,
+    len(regexp_replace(m.raw, '"[^"]*"', '', 'g')) - len(replace(regexp_replace(m.raw, '"[^"]*"', '', 'g'), ',', '')) AS commas,
+    regexp_extract(m.raw, '^({_FIELD})', 1) AS f1, regexp_extract(m.raw, '^{_FIELD},({_FIELD})', 1) AS f2,
+    regexp_extract(m.raw, '^{_FIELD},{_FIELD},({_FIELD})', 1) AS f3, regexp_extract(m.raw, '^{_FIELD},{_FIELD},{_FIELD},({_FIELD})', 1) AS f4
+  FROM malformed m JOIN h USING (file_no) WHERE m.line_no <> 1),
+u AS (SELECT *, {", ".join(f"CASE WHEN f{k} LIKE '\"%' THEN replace(f{k}[2:-2], '\"\"', '\"') ELSE f{k} END AS v{k}" for k in (1, 2, 3, 4))} FROM r),
+k AS (SELECT *,
+  CASE WHEN NOT proper THEN 'quoting' WHEN commas <> want THEN 'column_count'
+    WHEN NOT regexp_full_match(v1, '-?[0-9]+') OR TRY_CAST(v1 AS BIGINT) IS NULL THEN 'id'
+    WHEN want = 3 AND NOT regexp_full_match(v2, '-?[0-9]{{1,8}}([.][0-9]{{1,2}})?') THEN 'amount'
+    WHEN want = 3 AND (NOT regexp_full_match(v3, '[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}T[0-9]{{2}}:[0-9]{{2}}:[0-9]{{2}}([.][0-9]{{1,6}})?')
+      OR TRY_CAST(v3 AS TIMESTAMP) IS NULL) THEN 'placed_at' END AS reason
+  FROM u)
+"""
+
 ORACLES = {
+    "p3_found": _P3 + "SELECT record_id, reason FROM k WHERE reason IS NOT NULL",
+    "p3_report": _P3 + "SELECT file_no, coalesce(reason, 'valid') AS reason, count(*) AS n_records FROM k GROUP BY 1, 2",
+    "p3_loaded": _P3
+    + """SELECT record_id, file_no, line_no, CAST(v1 AS BIGINT) AS id, CASE WHEN want = 3 THEN CAST(v2 AS DECIMAL(10,2)) END AS amount,
+      CASE WHEN want = 3 THEN CAST(v3 AS TIMESTAMP) END AS placed_at, CASE WHEN want = 1 THEN v2 END AS name, CASE WHEN want = 3 THEN nullif(v4, '') END AS note
+      FROM k WHERE reason IS NULL""",
     "p2_found": _P2 + "SELECT DISTINCT shipment_id, kind FROM k WHERE kind IS NOT NULL",
     "p2_report": _P2
     + "SELECT 'shipments' AS table_name, strftime(shipped_at, '%Y-%m') AS month, kind, count(DISTINCT shipment_id) AS n_references FROM k WHERE kind IS NOT NULL GROUP BY 2, 3",
