@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..tables import table
-from . import differences, drift, hotkeys, orphans, parsing
+from . import differences, drift, hotkeys, orphans, parsing, profile
 
 MANIFEST_FIELDS = [
     "schema_version", "input_key", "input_size", "input_e_tag", "input_last_modified", "row_count", "content_digest",
@@ -14,6 +14,29 @@ MANIFEST_FIELDS = [
 ]
 
 
+ORDER_RULES = [profile.ColumnRule("note", breaks=profile.note_breaks), profile.ColumnRule("amount", outside=profile.amount_outside)]
+HEADER_RULES = [profile.ColumnRule("name", breaks=profile.name_breaks)]
+MEASURES = ["null_share", "distinct_share", "pattern_share", "range_share", "level"]
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    parts = [profile.profile(table(spark, d, t), t, rules) for t, rules in (("shop_orders", ORDER_RULES), ("headers", HEADER_RULES))]
+    return profile.departures(parts[0].unionByName(parts[1]), MEASURES).select("table_name", "column_name", "load_no", "measure")
+
+
+def p1_profile(spark: SparkSession, d: str) -> DataFrame:
+    """Every column of both tables for each load, with the departures of the coverage by induced expressions."""
+    others = [profile.ColumnRule(c) for c in ("id", "placed_at", "loaded_at", "deleted_at")]
+    orders = profile.profile(table(spark, d, "shop_orders"), "shop_orders", [*ORDER_RULES, *others])
+    headers = profile.profile(table(spark, d, "headers"), "headers", [*HEADER_RULES, profile.ColumnRule("id"), profile.ColumnRule("note", breaks=profile.note_breaks)])
+    return orders.unionByName(headers)
+
+
+def p1_expressions(spark: SparkSession, d: str) -> DataFrame:
+    orders = profile.expression_shares(table(spark, d, "shop_orders"), "shop_orders", ["note", "amount"])
+    return orders.unionByName(profile.expression_shares(table(spark, d, "headers"), "headers", ["name"]))
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return orphans.orphan_references(table(spark, d, "shipments"), table(spark, d, "shop_orders"))
 
@@ -68,7 +91,7 @@ def p4_alternatives(spark: SparkSession, d: str) -> DataFrame:
     return drift.alternatives(table(spark, d, "manifest_lines"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_report, p3_found, p3_loaded, p3_report, p4_found, p4_table, p4_alternatives, p5_found, p5_per_key, p6_found, p6_summary)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_profile, p1_expressions, p2_found, p2_report, p3_found, p3_loaded, p3_report, p4_found, p4_table, p4_alternatives, p5_found, p5_per_key, p6_found, p6_summary)}
 
 _P2 = """
 WITH o AS (SELECT id, min(loaded_at) AS first_at, min(deleted_at) AS gone_at FROM shop_orders WHERE id IS NOT NULL GROUP BY id),
@@ -122,7 +145,32 @@ k AS (SELECT *,
   FROM u)
 """
 
+_NOTE_BREAKS = "(v = '' OR regexp_matches(v, '^[\\s\\p{Z}\\x{85}\\v]|[\\s\\p{Z}\\x{85}\\v]$') OR regexp_matches(replace(v, chr(10), ''), '\\p{Cc}') OR contains(v, chr(65533)))"
+_NAME_BREAKS = "NOT regexp_full_match(v, '\\p{L}[\\p{L}''.-]*( \\p{L}[\\p{L}''.-]*)*')"
+
+
+def _p1(t: str, c: str, breaks: str | None, outside: str | None, level: str) -> str:
+    some = "count(v)"
+    share = lambda x: f"CASE WHEN {some} > 0 THEN CAST(count(*) FILTER (WHERE {x}) AS DOUBLE) / {some} END" if x else "CAST(NULL AS DOUBLE)"
+    return f"""SELECT '{t}' AS table_name, '{c}' AS column_name, load_no, CAST(count(*) - {some} AS DOUBLE) / count(*) AS null_share,
+      CASE WHEN {some} > 0 THEN CAST(count(DISTINCT v) AS DOUBLE) / {some} END AS distinct_share, {share(breaks)} AS pattern_share,
+      {share(outside)} AS range_share, CAST(quantile_cont({level}, 0.5) AS DOUBLE) AS level
+      FROM (SELECT load_no, {c} AS v FROM {t}) GROUP BY load_no"""
+
+
+_P1 = f"""
+WITH p AS ({_p1("shop_orders", "note", _NOTE_BREAKS, None, "CAST(length(v) AS DOUBLE)")}
+  UNION ALL {_p1("shop_orders", "amount", None, "(v < 0.01 OR v > 20000)", "CAST(v AS DOUBLE)")}
+  UNION ALL {_p1("headers", "name", _NAME_BREAKS, None, "CAST(length(v) AS DOUBLE)")}),
+l AS (UNPIVOT p ON null_share, distinct_share, pattern_share, range_share, level INTO NAME measure VALUE value),
+m AS (SELECT *, quantile_cont(value, 0.5) OVER (PARTITION BY table_name, column_name, measure) AS mid FROM l)
+SELECT table_name, column_name, load_no, measure FROM m WHERE CASE measure
+  WHEN 'null_share' THEN abs(value - mid) > 0.15 WHEN 'distinct_share' THEN value < mid / 2 WHEN 'pattern_share' THEN value > mid + 0.10
+  WHEN 'range_share' THEN value > mid + 0.03 ELSE value > 1.6 * mid OR value < mid / 1.6 END
+"""
+
 ORACLES = {
+    "p1_found": _P1,
     "p3_found": _P3 + "SELECT record_id, reason FROM k WHERE reason IS NOT NULL",
     "p3_report": _P3 + "SELECT file_no, coalesce(reason, 'valid') AS reason, count(*) AS n_records FROM k GROUP BY 1, 2",
     "p3_loaded": _P3
