@@ -18,7 +18,6 @@ from hashlib import blake2b
 import ahocorasick
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,7 +29,7 @@ NOT_DRAWN = {0x34F, 0x115F, 0x1160, 0x17B4, 0x17B5, 0x180B, 0x180C, 0x180D, 0x18
 #: Fixed value: a space that is drawn.
 DRAWN_SPACE = 0x1680
 
-_MARKS = regex.compile(r"\p{M}")
+_ASCII = bytes(range(128))
 
 
 class UnionFind:
@@ -138,6 +137,8 @@ class Rewriter:
         self.erase = self._automaton({a: b for a, b in rules.items() if b == ""})
         self.change = self._automaton({a: b for a, b in rules.items() if b != ""})
         self.plain_ascii = not any(a.isascii() for a in rules)
+        self.touched = {c for a in rules for c in a if not c.isascii()}
+        self.safe: set[str] = set()
 
     @staticmethod
     def _automaton(rules: dict[str, str]) -> ahocorasick.Automaton | None:
@@ -165,17 +166,24 @@ class Rewriter:
         out.append(text[last:])
         return "".join(out)
 
+    def _stays(self, text: str) -> bool:
+        """Whether no sign of the text takes part in a rule or in composition."""
+        if not self.plain_ascii:
+            return False
+        if text.isascii():
+            return True
+        rest = text.encode("utf-8", "surrogatepass").translate(None, _ASCII).decode("utf-8", "surrogatepass")
+        for c in set(rest) - self.safe:
+            if c in self.touched or unicodedata.category(c)[0] == "M" or 0x1100 <= ord(c) < 0x1200 or unicodedata.normalize("NFC", c) != c:
+                return False
+            self.safe.add(c)
+        return True
+
     def __call__(self, text: str) -> str:
-        if self.plain_ascii and text.isascii():
+        if self._stays(text):
             return text
-        text = self._apply(self.erase, text)
-        marks = _MARKS.search(text) is not None
-        if marks:
-            text = unicodedata.normalize("NFC", text)
-        text = self._apply(self.change, text)
-        if marks or _MARKS.search(text) is not None:
-            text = unicodedata.normalize("NFC", text)
-        return text
+        text = unicodedata.normalize("NFC", self._apply(self.erase, text))
+        return unicodedata.normalize("NFC", self._apply(self.change, text))
 
 
 def code_point_counts(df: DataFrame, text: str = "text") -> DataFrame:
@@ -186,9 +194,12 @@ def code_point_counts(df: DataFrame, text: str = "text") -> DataFrame:
         for batch in batches:
             for start in range(0, batch.num_rows, 2_000):
                 part = "".join(t for t in batch.column(0).slice(start, 2_000).to_pylist() if t)
-                codes = np.frombuffer(part.encode("utf-32-le", "surrogatepass"), np.uint32)
-                n = np.bincount(codes) if len(codes) else np.zeros(0, np.int64)
-                total[: len(n)] += n
+                whole = part.encode("utf-8", "surrogatepass")
+                total[:128] += np.bincount(np.frombuffer(whole, np.uint8), minlength=256)[:128]
+                odd = whole.translate(None, _ASCII).decode("utf-8", "surrogatepass")
+                if odd:
+                    n = np.bincount(np.frombuffer(odd.encode("utf-32-le", "surrogatepass"), np.uint32))
+                    total[: len(n)] += n
         seen = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array([chr(c) for c in seen], pa.string()), pa.array(total[seen])], names=["sign", "n"])
 
