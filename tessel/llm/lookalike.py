@@ -11,6 +11,7 @@ What stays different: case, accents, digits (raised ones, too), ligatures and si
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from collections.abc import Iterator
 from hashlib import blake2b
@@ -30,6 +31,7 @@ NOT_DRAWN = {0x34F, 0x115F, 0x1160, 0x17B4, 0x17B5, 0x180B, 0x180C, 0x180D, 0x18
 DRAWN_SPACE = 0x1680
 
 _ASCII = bytes(range(128))
+_ODD = re.compile("[^\x00-\x7f]+").finditer
 
 
 class UnionFind:
@@ -139,6 +141,7 @@ class Rewriter:
         self.plain_ascii = not any(a.isascii() for a in rules)
         self.touched = {c for a in rules for c in a if not c.isascii()}
         self.safe: set[str] = set()
+        self.seen: dict[int, dict[str, str]] = {}
 
     @staticmethod
     def _automaton(rules: dict[str, str]) -> ahocorasick.Automaton | None:
@@ -179,11 +182,39 @@ class Rewriter:
             self.safe.add(c)
         return True
 
+    def _spans(self, automaton, text: str) -> str:
+        """``_apply`` on the spans in which a match can lie: runs outside ASCII, with the sign before a leading mark."""
+        if automaton is None:
+            return text
+        if not self.plain_ascii:
+            return self._apply(automaton, text)
+        seen = self.seen.setdefault(id(automaton), {})
+        out, last = [], 0
+        for m in _ODD(text):
+            start, end = m.span()
+            if start > last and text[start] in self.touched and unicodedata.category(text[start])[0] == "M":
+                start -= 1
+            span = text[start:end]
+            new = seen.get(span)
+            if new is None:
+                new = self._apply(automaton, span)
+                if len(seen) > 200_000:
+                    seen.clear()
+                if len(span) <= 32:
+                    seen[span] = new
+            if new != span:
+                out += (text[last:start], new)
+                last = end
+        if not last:
+            return text
+        out.append(text[last:])
+        return "".join(out)
+
     def __call__(self, text: str) -> str:
         if self._stays(text):
             return text
-        text = unicodedata.normalize("NFC", self._apply(self.erase, text))
-        return unicodedata.normalize("NFC", self._apply(self.change, text))
+        text = unicodedata.normalize("NFC", self._spans(self.erase, text))
+        return unicodedata.normalize("NFC", self._spans(self.change, text))
 
 
 def code_point_counts(df: DataFrame, text: str = "text") -> DataFrame:
