@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
+from .operators import catalogue
 from .quality import queries as quality
 
-QUERIES = {**quality.QUERIES}
-ORACLES = {**quality.ORACLES}
+QUERIES = {**catalogue.QUERIES, **quality.QUERIES}
+ORACLES = {**catalogue.ORACLES, **quality.ORACLES}

@@ -43,17 +43,16 @@ def _nulls(value: Column, kind: T.DataType, nullable: bool, path: str) -> list[t
             out += [(p, value.isNotNull() & c) for p, c in _nulls(value.getField(f.name), f.dataType, f.nullable, own)]
     elif isinstance(kind, T.ArrayType):
         for p, _ in _nulls(F.lit(None), kind.elementType, kind.containsNull, f"{path}.[]"):
-            out.append((p, F.coalesce(F.exists(value, lambda x, p=p: _pick(x, kind.elementType, kind.containsNull, f"{path}.[]", p)), F.lit(False))))
+            out.append((p, F.coalesce(F.exists(value, _picker(kind.elementType, kind.containsNull, f"{path}.[]", p)), F.lit(False))))
     elif isinstance(kind, T.MapType):
         for p, _ in _nulls(F.lit(None), kind.valueType, kind.valueContainsNull, f"{path}.<value>"):
             values = F.map_values(value)
-            out.append((p, F.coalesce(F.exists(values, lambda x, p=p: _pick(x, kind.valueType, kind.valueContainsNull, f"{path}.<value>", p)), F.lit(False))))
+            out.append((p, F.coalesce(F.exists(values, _picker(kind.valueType, kind.valueContainsNull, f"{path}.<value>", p)), F.lit(False))))
     return out
 
 
-def _pick(x: Column, kind: T.DataType, nullable: bool, path: str, wanted: str) -> Column:
-    return F.coalesce(next(c for p, c in _nulls(x, kind, nullable, path) if p == wanted), F.lit(False))
-
+def _picker(kind: T.DataType, nullable: bool, path: str, wanted: str):
+    return lambda x: F.coalesce(next(c for p, c in _nulls(x, kind, nullable, path) if p == wanted), F.lit(False))
 
 
 @dataclass(frozen=True)

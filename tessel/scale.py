@@ -10,7 +10,7 @@ from __future__ import annotations
 import tempfile
 from decimal import Decimal
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -127,3 +127,31 @@ def parts_for(rows: int, rows_per_part: int, least: int) -> int:
 
 def shuffle_parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def running_sum(df: DataFrame, group: list[str], range_column: str, order: list[Column | str], value: str, out: str) -> DataFrame:
+    """Adds ``out``, the running sum of ``value`` in each group by ``range_column`` and then ``order``.
+
+    A group may hold all rows: sums of ranges are made first, then each range is summed row by row on top of the sum of
+    the ranges before.  Null values count as 0; neither a group column nor the range may be null.
+    """
+    sums = df.groupBy(*group, range_column).agg(F.sum(value).alias("_in"))
+    before = Window.partitionBy(*group).orderBy(range_column).rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select(*group, range_column, F.coalesce(F.sum("_in").over(before), F.lit(0)).alias("_before"))
+    within = Window.partitionBy(*group, range_column).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    sized = df.withColumn("_within", F.coalesce(F.sum(value).over(within), F.lit(0)))
+    return sized_join(sized, sums, [*group, range_column]).withColumn(out, F.col("_before") + F.col("_within")).drop("_before", "_within")
+
+
+def order_ranges(df: DataFrame, number: str, rows_per_range: int = 100_000, nulls_first: bool = False) -> Column:
+    """A small whole number for each row that grows with the double column ``number``; about equal ranges.
+
+    Edges are approximate quantiles over all rows, at most one for ``rows_per_range`` rows.
+    """
+    parts = parts_for(df.count(), rows_per_range, 1)
+    edges = sorted(set(df.where(F.col(number).isNotNull()).approxQuantile(number, [k / parts for k in range(1, parts)], 0.001))) if parts > 1 else []
+    if len(edges) > 200:
+        inside = F.aggregate(F.array(*map(F.lit, edges)), F.lit(0), lambda n, e: n + F.when(F.col(number) >= e, 1).otherwise(0))
+    else:
+        inside = sum((F.when(F.col(number) >= F.lit(e), 1).otherwise(0) for e in edges), F.lit(0))
+    return F.when(F.col(number).isNull(), F.lit(-1 if nulls_first else len(edges) + 1)).otherwise(inside)
