@@ -8,25 +8,15 @@ documents, and over the global order, are made in ranges: sums of ranges first,
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..scale import cut, parts_for, sized_join
+from ..scale import cut, parts_for, running_sum, sized_join
 
 #: Documents of a range, about.
 RANGE_ROWS = 50_000
 
 
-def _running(df: DataFrame, group: list[str], range_column: str, order: list[str], value: str, out: str) -> DataFrame:
-    """Adds ``out``, the running sum of ``value`` in each group by ``range_column`` and then ``order``."""
-    sums = df.groupBy(*group, range_column).agg(F.sum(value).alias("_in"))
-    before = Window.partitionBy(*group).orderBy(range_column).rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.select(*group, range_column, F.coalesce(F.sum("_in").over(before), F.lit(0)).alias("_before"))
-    within = Window.partitionBy(*group, range_column).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    sized = df.withColumn("_within", F.sum(value).over(within))
-    return sized_join(sized, sums, [*group, range_column]).withColumn(out, F.col("_before") + F.col("_within")).drop("_before", "_within")
-
-
 def capacities(documents: DataFrame, targets: DataFrame) -> DataFrame:
     """One row for each source of either table, with its tokens and its weight among the sources that have any.
 
@@ -66,11 +56,11 @@ def mix(documents: DataFrame, targets: DataFrame, budget: int | None = None, see
     uses = uses.withColumn("_place", F.shiftrightunsigned("_dice", 33))
     place = F.floor(F.col("_place") * F.lit(ranges) / F.lit(1 << 31)).cast("bigint")
     uses = uses.withColumn("_range", F.col("_pass") * F.lit(ranges) + place)
-    uses = _running(uses, ["source"], "_range", ["_place", "doc_id"], "n_tokens", "_upto")
+    uses = running_sum(uses, ["source"], "_range", ["_place", "doc_id"], "n_tokens", "_upto")
     uses = uses.withColumn("finish", F.col("_upto") / F.col("share"))
     uses = uses.withColumn("_slice", F.floor(F.col("finish") / F.lit(max(float(budget), 1.0)) * F.lit(4 * ranges)).cast("bigint")).withColumn("_one", F.lit(0))
     uses = cut(uses.select("doc_id", "source", "n_tokens", "finish", "_slice", "_one", "_pass"))
-    taken = _running(uses, ["_one"], "_slice", ["finish", "source", "doc_id", "_pass"], "n_tokens", "_total").where(F.col("_total") <= F.lit(budget))
+    taken = running_sum(uses, ["_one"], "_slice", ["finish", "source", "doc_id", "_pass"], "n_tokens", "_total").where(F.col("_total") <= F.lit(budget))
     return taken.groupBy("doc_id", "source", "n_tokens").agg(F.count("*").cast("int").alias("uses"))
 
 
