@@ -138,7 +138,8 @@ def select_column_df(spark: SparkSession, path: str, column: int, headers: bool
     df = spark.read.option("header", headers).option("multiLine", True).option("mode", "FAILFAST").option("escape", '"').option("emptyValue", "").csv(path)
     if not 0 <= column < len(df.columns):
         raise ValueError(f"column {column} is out of range: {len(df.columns)} columns")
-    return df.select(F.col(f"`{df.columns[column]}`"))
+    name = df.columns[column]
+    return df.select(F.coalesce(F.col(f"`{name}`"), F.lit("")).alias(name))
 
 
 def split_records(raw: bytes, delimiter: bytes = b",") -> list[list[memoryview]] | None:

@@ -13,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from ..contracts.validate import _plain
+
 MOST = (1 << 63) - 1
 
 
@@ -73,6 +75,7 @@ class ByteBudget:
 def budgeted(df: DataFrame, transform: Callable[[pa.RecordBatch], pa.RecordBatch], schema: T.StructType, limit: int) -> tuple[DataFrame, dict]:
     """``transform`` applied to every Arrow batch under a budget of ``limit`` bytes for each task.
 
+    Values of ``schema`` may be null in the result whatever it says, so that a later check sees those that are.
     Also gives accumulators, filled when the result has been computed: ``batches``, ``bytes``, and ``peak`` as a list.
     """
     sc = df.sparkSession.sparkContext
@@ -102,4 +105,4 @@ def budgeted(df: DataFrame, transform: Callable[[pa.RecordBatch], pa.RecordBatch
             yield out
             budget.release(max(before, after))
 
-    return df.mapInArrow(run, schema), {"batches": batches, "bytes": admitted, "peak": peak}
+    return df.mapInArrow(run, _plain(schema)), {"batches": batches, "bytes": admitted, "peak": peak}

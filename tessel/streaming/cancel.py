@@ -28,7 +28,7 @@ class CancellationToken:
     def cancel(self) -> None:
         self._event.set()
         for spark in list(self._sessions):
-            spark.interruptTag(self._tag)
+            spark.sparkContext.cancelJobsWithTag(self._tag)
 
     def check(self) -> None:
         if self.cancelled:
@@ -38,10 +38,12 @@ class CancellationToken:
     def jobs(self, spark: SparkSession):
         """Jobs started inside end when the token is cancelled."""
         self.check()
-        spark.addTag(self._tag)
+        sc = spark.sparkContext
+        sc.addJobTag(self._tag)
+        sc.setInterruptOnCancel(True)
         self._sessions.append(spark)
         try:
             yield
         finally:
             self._sessions.remove(spark)
-            spark.removeTag(self._tag)
+            sc.removeJobTag(self._tag)
