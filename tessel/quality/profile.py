@@ -51,24 +51,30 @@ def amount_outside(x: Column) -> Column:
 
 
 def value_counts(df: DataFrame, columns: list[str], load: str = "load_no") -> DataFrame:
-    """``load_no``, ``column_name``, ``value`` (as text), ``number`` and ``n``: the different values of each load."""
+    """``load_no``, ``column_name``, ``value`` (as text), ``number``, ``n`` and ``e1``: the different values of each load
+    with their exact shape."""
     cells = []
     for c in columns:
         number = F.col(c).cast("double") if isinstance(df.schema[c].dataType, T.NumericType) else F.lit(None).cast("double")
         cells.append(F.struct(F.lit(c).alias("c"), F.col(c).cast("string").alias("v"), number.alias("x")))
     rows = df.select(F.col(load).alias("load_no"), F.explode(F.array(*cells)).alias("_x"))
-    return rows.groupBy("load_no", F.col("_x.c").alias("column_name"), F.col("_x.v").alias("value"), F.col("_x.x").alias("number")).agg(F.count("*").alias("n"))
+    counts = rows.groupBy("load_no", F.col("_x.c").alias("column_name"), F.col("_x.v").alias("value"), F.col("_x.x").alias("number")).agg(F.count("*").alias("n"))
+    return counts.withColumn("e1", exact_shape(F.col("value")))
 
 
-def _shapes(v: Column) -> list[Column]:
-    """The four nested expressions of a value.  Letters and digits become A, a, L and 9; other signs stand for
-    themselves, so the declared patterns hold for a shape as for its values."""
-    e1 = F.regexp_replace(F.regexp_replace(F.regexp_replace(v, r"[0-9]", "9"), "[A-Z]", "A"), "[a-z]", "a")
-    e1 = F.regexp_replace(e1, r"[\p{L}&&[^A-Za-z]]", "L")
+def exact_shape(v: Column) -> Column:
+    """Letters and digits become A, a, L and 9; other signs stand for themselves, so the declared patterns hold for a shape
+    as for its values."""
+    plain = F.translate(v, "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", "A" * 26 + "a" * 26 + "9" * 10)
+    return F.when(plain.rlike(r"[^\x00-\x7f]"), F.regexp_replace(plain, r"[\p{L}&&[^A-Za-z]]", "L")).otherwise(plain)
+
+
+def _wider_shapes(e1: Column) -> list[Column]:
+    """The three wider expressions of an exact shape, each nested in the next."""
     e2 = F.regexp_replace(e1, r"([AaL9])\1+", "$1+")
     e3 = F.regexp_replace(F.regexp_replace(e2, r"(?:[AaL]\+?)+", "w+"), r"9\+?", "9+")
     e4 = F.concat(F.lit("["), F.array_join(F.array_sort(F.array_distinct(F.split(F.regexp_replace(e3, r"\+", ""), ""))), ""), F.lit("]*"))
-    return [e1.alias("e1"), e2.alias("e2"), e3.alias("e3"), e4.alias("e4")]
+    return [e2.alias("e2"), e3.alias("e3"), e4.alias("e4")]
 
 
 def _bits(level: int) -> Column:
@@ -90,33 +96,27 @@ def _bits(level: int) -> Column:
 def expressions(cells: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The chosen expressions of each column, and each shape with the expression chosen for it.
 
-    First: column_name, level, expression, n_values, bits.  Second: column_name, e1, level, expression.
+    First: column_name, level, expression, n_values, bits.  Second: column_name, e1, level, expression.  All that is wider
+    than an exact shape is made from the different shapes, not from the values.
     """
-    values = cells.where(F.col("value").isNotNull()).select("column_name", "value").distinct()
-    values = values.select("column_name", *_shapes(F.col("value")))
-    tree = values.groupBy("column_name", "e1", "e2", "e3", "e4").agg(F.count("*").alias("n")).select("*", *(_bits(k).alias(f"b{k}") for k in (1, 2, 3, 4)))
-    tree = tree.withColumn("best", F.length("e1") * SIGN_BITS + F.col("n") * F.col("b1"))
-    tree = cut(tree)
-    best = tree.select("column_name", "e1", "e2", "e3", "e4", "n", F.col("best"), *(F.col("n") * F.col(f"b{k}") for k in (2, 3, 4))).toDF(
-        "column_name", "e1", "e2", "e3", "e4", "n", "best", "s2", "s3", "s4"
-    )
-    chosen = []
+    values = cells.where(F.col("value").isNotNull()).select("column_name", "value", "e1").distinct()
+    tree = values.groupBy("column_name", "e1").agg(F.count("*").alias("n"))
+    tree = tree.select("column_name", "e1", "n", *_wider_shapes(F.col("e1"))).select("*", *(_bits(k).alias(f"b{k}") for k in (1, 2, 3, 4)))
+    tree = cut(tree.withColumn("best", F.length("e1") * SIGN_BITS + F.col("n") * F.col("b1")))
+    node = tree.select("column_name", "e2", "e3", "e4", "n", "best", *((F.col("n") * F.col(f"b{k}")).alias(f"s{k}") for k in (2, 3, 4)))
+    shapes = tree
     for level, keys in ((2, ["e2", "e3", "e4"]), (3, ["e3", "e4"]), (4, ["e4"])):
         sums = [F.sum(f"s{k}").alias(f"s{k}") for k in range(level, 5)]
-        node = best.groupBy("column_name", *keys).agg(F.sum("n").alias("n"), F.sum("best").alias("parts"), *sums)
-        own = F.length(f"e{level}") * SIGN_BITS + F.col(f"s{level}")
-        node = node.withColumn("own", own).withColumn("take", F.col("own") < F.col("parts")).withColumn("best", F.least("own", "parts"))
-        chosen.append(node.where("take").select("column_name", f"e{level}", F.lit(True).alias(f"t{level}")))
-        best = node
-    shapes = tree
-    for level, t in zip((2, 3, 4), chosen):
-        shapes = sized_join(shapes, cut(t), ["column_name", f"e{level}"], "left")
+        node = node.groupBy("column_name", *keys).agg(F.sum("n").alias("n"), F.sum("best").alias("parts"), *sums)
+        node = node.withColumn("own", F.length(f"e{level}") * SIGN_BITS + F.col(f"s{level}"))
+        taken = node.where(F.col("own") < F.col("parts")).select("column_name", f"e{level}", F.lit(True).alias(f"t{level}"))
+        node = node.withColumn("best", F.least("own", "parts"))
+        shapes = sized_join(shapes, taken, ["column_name", f"e{level}"], "left")
+    # the widest expression that was taken rules over those inside it
     level = F.when(F.col("t4"), 4).when(F.col("t3"), 3).when(F.col("t2"), 2).otherwise(1)
-    shapes = shapes.withColumn("level", level)
-    picked = F.when(F.col("level") == 4, F.col("e4")).when(F.col("level") == 3, F.col("e3")).when(F.col("level") == 2, F.col("e2")).otherwise(F.col("e1"))
-    shapes = cut(shapes.withColumn("expression", picked).select("column_name", "e1", "level", "expression", "n", *(f"b{k}" for k in (1, 2, 3, 4))))
-    at = F.when(F.col("level") == 4, F.col("b4")).when(F.col("level") == 3, F.col("b3")).when(F.col("level") == 2, F.col("b2")).otherwise(F.col("b1"))
-    named = shapes.groupBy("column_name", "level", "expression").agg(F.sum("n").alias("n_values"), F.sum(F.col("n") * at).alias("bits"))
+    pick = lambda of: F.when(level == 4, F.col(of + "4")).when(level == 3, F.col(of + "3")).when(level == 2, F.col(of + "2")).otherwise(F.col(of + "1"))
+    shapes = cut(shapes.select("column_name", "e1", level.alias("level"), pick("e").alias("expression"), "n", (F.col("n") * pick("b")).alias("bits")))
+    named = shapes.groupBy("column_name", "level", "expression").agg(F.sum("n").alias("n_values"), F.sum("bits").alias("bits"))
     return named, shapes.select("column_name", "e1", "level", "expression")
 
 
@@ -158,17 +158,18 @@ def profile(df: DataFrame, table_name: str, rules: list[ColumnRule], load: str =
     texts are values; an empty table gives no row.
     """
     cells = cut(value_counts(df, [r.name for r in rules], load))
-    _, shapes = expressions(cells)
+    named, shapes = expressions(cells)
     breaks = F.lit(False)
     for r in rules:
         if r.breaks:
             breaks = F.when(F.col("column_name") == r.name, r.breaks(F.col("e1"))).otherwise(breaks)
     shapes = shapes.withColumn("shape_breaks", breaks)
+    total = named.groupBy("column_name").agg(F.sum("n_values").alias("_all"))
+    own = named.join(total, "column_name").select("column_name", "level", "expression", (F.col("n_values") >= OWN_SHARE * F.col("_all")).alias("own"))
     flawed = shapes.groupBy("column_name", "level", "expression").agg(F.bool_or("shape_breaks").alias("mixed"))
-    counted = cells.where(F.col("value").isNotNull()).select("*", _shapes(F.col("value"))[0])
-    own = expressions_share(counted, shapes)
-    shapes = sized_join(shapes, flawed.join(own, ["column_name", "level", "expression"]), ["column_name", "level", "expression"])
-    judged = sized_join(counted, shapes.select("column_name", "e1", "own", "mixed", "shape_breaks"), ["column_name", "e1"], "left")
+    named = flawed.join(own, ["column_name", "level", "expression"])
+    shapes = sized_join(shapes, named, ["column_name", "level", "expression"]).select("column_name", "e1", "own", "mixed", "shape_breaks")
+    judged = sized_join(cells.where(F.col("value").isNotNull()), shapes, ["column_name", "e1"])
     judged = judged.groupBy("load_no", "column_name").agg(
         F.sum(F.when(F.col("mixed") & F.col("shape_breaks"), F.col("n")).otherwise(0)).alias("n_break"),
         F.sum(F.when(F.col("own"), F.col("n")).otherwise(0)).alias("n_covered"),
@@ -200,14 +201,6 @@ def profile(df: DataFrame, table_name: str, rules: list[ColumnRule], load: str =
     )
 
 
-def expressions_share(counted: DataFrame, shapes: DataFrame) -> DataFrame:
-    """column_name, level, expression, ``own``: whether an expression has ``OWN_SHARE`` of its column's different values."""
-    values = counted.select("column_name", "value", "e1").distinct().groupBy("column_name", "e1").agg(F.count("*").alias("n"))
-    named = sized_join(values, shapes.select("column_name", "e1", "level", "expression"), ["column_name", "e1"]).groupBy("column_name", "level", "expression").agg(F.sum("n").alias("n"))
-    total = named.groupBy("column_name").agg(F.sum("n").alias("all"))
-    return named.join(total, "column_name").select("column_name", "level", "expression", (F.col("n") >= OWN_SHARE * F.col("all")).alias("own"))
-
-
 #: How far a measure may depart from the median M over all loads.
 def departs(measure: Column, value: Column, middle: Column) -> Column:
     return (
@@ -234,7 +227,7 @@ def expression_shares(df: DataFrame, table_name: str, columns: list[str], load:
     """How the induced expressions are spread over the loads: the share of a load's non-null values under each one."""
     cells = cut(value_counts(df, columns, load)).where(F.col("value").isNotNull())
     _, shapes = expressions(cells)
-    counted = sized_join(cells.select("*", _shapes(F.col("value"))[0]), shapes, ["column_name", "e1"])
+    counted = sized_join(cells, shapes, ["column_name", "e1"])
     n = counted.groupBy("load_no", "column_name", "level", "expression").agg(F.sum("n").alias("n_rows"))
     all_rows = cells.groupBy(F.col("load_no").alias("_l"), F.col("column_name").alias("_c")).agg(F.sum("n").alias("_all"))
     both = n.join(all_rows, F.col("load_no").eqNullSafe(F.col("_l")) & (F.col("column_name") == F.col("_c")))

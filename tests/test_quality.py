@@ -68,7 +68,7 @@ NOTES = {"": True, " ": True, "a": False, "a\nb": False, "a\tb": True, "\na": Tr
 def test_declared_patterns(spark):
     for texts, breaks in ((NAMES, profile.name_breaks), (NOTES, profile.note_breaks)):
         df = spark.createDataFrame([(t,) for t in texts], "v string")
-        shape = df.select("v", *profile._shapes(F.col("v")))
+        shape = df.select("v", profile.exact_shape(F.col("v")).alias("e1"))
         got = {r.v: (r.a, r.b) for r in shape.select("v", breaks(F.col("v")).alias("a"), breaks(F.col("e1")).alias("b")).collect()}
         assert {t: (x, x) for t, x in texts.items()} == got
 
