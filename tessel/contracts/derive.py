@@ -77,7 +77,11 @@ def contract(cls: type) -> type:
     if not own:
         raise TypeError(f"{cls.__name__}: a contract needs named fields")
     scope = {**vars(typing), **vars(sys.modules[cls.__module__]), **_caller_names()} if any(isinstance(a, str) for a in own.values()) else None
-    hints = {n: eval(a, scope) if isinstance(a, str) else a for n, a in own.items()}  # noqa: S307 - the program's own annotations
+    hints = {}
+    for n, a in own.items():
+        while isinstance(a, str):
+            a = eval(a, scope)  # noqa: S307 - the program's own annotations
+        hints[n] = a
     cls.__shape__ = Struct(tuple(Field(n, shape_of(a), isinstance(vars(cls).get(n), _Default)) for n, a in hints.items()))
     cls.c = _Columns(list(hints))
     return cls
