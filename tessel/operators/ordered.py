@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..scale import order_ranges, running_sum, sized_join
+from ..scale import order_ranges, running_sum, running_sums, sized_join
 
 
 def _number(df: DataFrame, column: str) -> Column:
@@ -45,8 +45,7 @@ def running_total(df: DataFrame, by: str, then: list[str], value: str, out: str
     rows = df.withColumn("_x", _number(df, by)).withColumn("_all", F.lit(0)).withColumn("_some", F.col(value).isNotNull().cast("bigint"))
     rows = rows.withColumn("_range", order_ranges(rows, "_x"))
     order = [F.asc_nulls_last(c) for c in (by, *then)]
-    rows = running_sum(rows, ["_all"], "_range", order, value, "_sum")
-    rows = running_sum(rows, ["_all"], "_range", order, "_some", "_seen")
+    rows = running_sums(rows, ["_all"], "_range", order, {"_sum": value, "_seen": "_some"})
     return rows.withColumn(out, F.when(F.col("_seen") > 0, F.col("_sum"))).drop("_x", "_all", "_some", "_range", "_sum", "_seen")
 
 

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from ..scale import shuffle_parts
 
 #: Slots of accumulators a task keeps before it sends them on.
-SLOTS = 1_000_000
+SLOTS = 250_000
 #: Groups of splits that are summed before the sum over all.
 SPLIT_GROUPS = 8
 

@@ -129,18 +129,26 @@ def shuffle_parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def running_sum(df: DataFrame, group: list[str], range_column: str, order: list[Column | str], value: str, out: str) -> DataFrame:
-    """Adds ``out``, the running sum of ``value`` in each group by ``range_column`` and then ``order``.
+def running_sums(df: DataFrame, group: list[str], range_column: str, order: list[Column | str], values: dict[str, str]) -> DataFrame:
+    """Adds running sums, ``values`` from new name to column, in each group by ``range_column`` and then ``order``.
 
-    A group may hold all rows: sums of ranges are made first, then each range is summed row by row on top of the sum of
+    A group may hold all rows: sums of ranges are made first, then each range is summed row by row on top of the sums of
     the ranges before.  Null values count as 0; neither a group column nor the range may be null.
     """
-    sums = df.groupBy(*group, range_column).agg(F.sum(value).alias("_in"))
     before = Window.partitionBy(*group).orderBy(range_column).rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.select(*group, range_column, F.coalesce(F.sum("_in").over(before), F.lit(0)).alias("_before"))
     within = Window.partitionBy(*group, range_column).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    sized = df.withColumn("_within", F.coalesce(F.sum(value).over(within), F.lit(0)))
-    return sized_join(sized, sums, [*group, range_column]).withColumn(out, F.col("_before") + F.col("_within")).drop("_before", "_within")
+    names = list(values)
+    sums = df.groupBy(*group, range_column).agg(*(F.sum(values[n]).alias(f"_in_{k}") for k, n in enumerate(names)))
+    sums = sums.select(*group, range_column, *(F.coalesce(F.sum(f"_in_{k}").over(before), F.lit(0)).alias(f"_before_{k}") for k in range(len(names))))
+    inner = df.withColumns({f"_within_{k}": F.coalesce(F.sum(values[n]).over(within), F.lit(0)) for k, n in enumerate(names)})
+    out = sized_join(inner, sums, [*group, range_column])
+    out = out.withColumns({n: F.col(f"_before_{k}") + F.col(f"_within_{k}") for k, n in enumerate(names)})
+    return out.drop(*(f"_{w}_{k}" for w in ("before", "within") for k in range(len(names))))
+
+
+def running_sum(df: DataFrame, group: list[str], range_column: str, order: list[Column | str], value: str, out: str) -> DataFrame:
+    """``running_sums`` of one value."""
+    return running_sums(df, group, range_column, order, {out: value})
 
 
 def order_ranges(df: DataFrame, number: str, rows_per_range: int = 100_000, nulls_first: bool = False) -> Column:
