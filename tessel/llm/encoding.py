@@ -20,7 +20,7 @@ from .bpe import WORD_PATTERN, BpeVocabulary, PairIndexEncoder
 #: Characters a task reads before it encodes its new words.
 CHUNK_CHARS = 4_000_000
 #: Different words a task remembers before it starts anew.
-MOST_WORDS = 1_500_000
+MOST_WORDS = 600_000
 
 
 class _Numbers(dict):
