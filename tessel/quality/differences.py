@@ -13,7 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..scale import bloom_bits, common_type, cut, might_contain, parts_for, shuffle_parts
+from ..scale import bloom_filter, common_type, cut, might_contain, parts_for, shuffle_parts
 
 #: A chunk has about this many keys.
 CHUNK_KEYS = 8
@@ -87,9 +87,9 @@ def differences(left: DataFrame, right: DataFrame, key: list[str], fields: list[
     sides = [_normal(left, right, key, fields), _normal(right, left, key, fields)]
     keys = cut(differing_keys(*sides, len(fields)))
     n_keys = keys.count()
-    bits = bloom_bits(keys, F.col("_k"), n_keys)
+    bloom = bloom_filter(keys, F.col("_k"), n_keys)
     found = [
-        x.where(might_contain(spark, bits, F.col("_k"))).join(keys, "_k", "left_semi").withColumn("_side", F.lit(n)) for n, x in enumerate(sides)
+        x.where(might_contain(spark, bloom, F.col("_k"))).join(keys, "_k", "left_semi").withColumn("_side", F.lit(n)) for n, x in enumerate(sides)
     ]
     rows = found[0].unionByName(found[1])
     values = rows.select(

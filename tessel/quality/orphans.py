@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..scale import bloom_bits, hot_keys, might_contain
+from ..scale import bloom_filter, hot_keys, might_contain
 
 HOT_SHARE = 0.001
 
@@ -45,8 +45,8 @@ def orphan_references(
         .groupBy(F.col(parent_key).alias("_key"))
         .agg(F.min(parent_seen_at).alias("_first"), F.min(parent_deleted_at).alias("_gone"))
     )
-    bits = bloom_bits(parents, F.col(parent_key), parents.count())
-    passes = might_contain(spark, bits, F.col("_key"))
+    bloom = bloom_filter(parents, F.col(parent_key), parents.count())
+    passes = might_contain(spark, bloom, F.col("_key"))
     definite = refs.where(~passes).select(*kept, F.lit("missing").alias("kind"))
 
     hot = F.broadcast(hot_keys(refs.select("_key"), "_key", HOT_SHARE).select("_key"))

@@ -73,11 +73,11 @@ def _java(column: Column):
     return _to_java_column(column)
 
 
-def bloom_bits(df: DataFrame, key: Column, items: int, bits_per_item: int = 10, most_bits: int = BLOOM_BITS) -> bytes | None:
-    """A Bloom filter over the non-null values of ``key``, made in parts on the executors.
+def bloom_filter(df: DataFrame, key: Column, items: int, bits_per_item: int = 10, most_bits: int = BLOOM_BITS) -> Column:
+    """A Bloom filter over the non-null values of ``key`` as a scalar subquery, made in parts on the executors.
 
-    Its size is ``min(items * bits_per_item, most_bits)``; beyond ``most_bits`` it gives more false positives,
-    never a false negative.  None for an empty table.
+    Its size is ``min(items * bits_per_item, most_bits)``; beyond ``most_bits`` it gives more false positives, never a
+    false negative.  As a subquery it is computed once for a query and never printed in plans.
     """
     from pyspark.sql.classic.column import Column as ClassicColumn
     from pyspark.sql.classic.column import _to_java_column, _to_seq
@@ -85,25 +85,19 @@ def bloom_bits(df: DataFrame, key: Column, items: int, bits_per_item: int = 10,
     spark = df.sparkSession
     n, bits = max(items, 1), min(max(items * bits_per_item, 1024), most_bits)
     args = [F.xxhash64(key), F.lit(n).cast("long"), F.lit(bits).cast("long")]
-    filter_of = ClassicColumn(
-        spark._jvm.PythonSQLUtils.internalFn("bloom_filter_agg", _to_seq(spark.sparkContext, args, _to_java_column))
-    )
-    found = df.where(key.isNotNull()).agg(filter_of.alias("bits")).first()[0]
-    return None if found is None else bytes(found)
+    made = ClassicColumn(spark._jvm.PythonSQLUtils.internalFn("bloom_filter_agg", _to_seq(spark.sparkContext, args, _to_java_column)))
+    return df.where(key.isNotNull()).agg(made.alias("bits")).scalar()
 
 
-def might_contain(spark: SparkSession, bits: bytes | None, key: Column) -> Column:
-    """False where a filter of ``bloom_bits`` proves that ``key`` was not put in; stays inside generated code."""
-    if bits is None:
-        return F.lit(False)
+def might_contain(spark: SparkSession, bloom: Column, key: Column) -> Column:
+    """False where a ``bloom_filter`` proves that ``key`` was not put in, as for any key of an empty table; stays inside
+    generated code."""
     from pyspark.sql.classic.column import Column as ClassicColumn
 
     jvm = spark._jvm
     to = jvm.org.apache.spark.sql.classic.ExpressionUtils
-    test = jvm.org.apache.spark.sql.catalyst.expressions.BloomFilterMightContain(
-        to.expression(_java(F.lit(bits))), to.expression(_java(F.xxhash64(key)))
-    )
-    return ClassicColumn(to.column(test))
+    test = jvm.org.apache.spark.sql.catalyst.expressions.BloomFilterMightContain(to.expression(_java(bloom)), to.expression(_java(F.xxhash64(key))))
+    return F.coalesce(ClassicColumn(to.column(test)), F.lit(False))
 
 
 def common_type(a: T.DataType, b: T.DataType) -> T.DataType:

@@ -39,11 +39,11 @@ def test_hot_keys(spark):
 def test_bloom_has_no_false_negative(spark):
     keys = spark.range(0, 3000, 3)
     for most in (1 << 26, 256):
-        bits = scale.bloom_bits(keys, F.col("id"), 1000, most_bits=most)
-        found = spark.range(6000).where(scale.might_contain(spark, bits, F.col("id")))
+        bloom = scale.bloom_filter(keys, F.col("id"), 1000, most_bits=most)
+        found = spark.range(6000).where(scale.might_contain(spark, bloom, F.col("id")))
         assert found.where("id % 3 = 0 and id < 3000").count() == 1000
-    assert scale.bloom_bits(keys.limit(0), F.col("id"), 0) is None
-    assert spark.range(5).where(scale.might_contain(spark, None, F.col("id"))).count() == 0
+    none = scale.might_contain(spark, scale.bloom_filter(keys.limit(0), F.col("id"), 0), F.col("id"))
+    assert spark.range(5).where(none).count() == 0 and spark.range(5).where(~none).count() == 5
 
 
 @pytest.mark.parametrize("rows_per_range", [4, 1000])
