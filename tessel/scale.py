@@ -18,6 +18,8 @@ from pyspark.sql import types as T
 BROADCAST_ROWS = 200_000
 #: Most bits of a Bloom filter (8 MB).
 BLOOM_BITS = 1 << 26
+#: Most ranges of an order; beyond that ranges get larger, so plans stay small.
+MOST_RANGES = 4096
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -148,9 +150,9 @@ def running_sum(df: DataFrame, group: list[str], range_column: str, order: list[
 def order_ranges(df: DataFrame, number: str, rows_per_range: int = 100_000, nulls_first: bool = False) -> Column:
     """A small whole number for each row that grows with the double column ``number``; about equal ranges.
 
-    Edges are approximate quantiles over all rows, at most one for ``rows_per_range`` rows.
+    Edges are approximate quantiles over all rows, one for ``rows_per_range`` rows and ``MOST_RANGES`` at most.
     """
-    parts = parts_for(df.count(), rows_per_range, 1)
+    parts = min(parts_for(df.count(), rows_per_range, 1), MOST_RANGES)
     edges = sorted(set(df.where(F.col(number).isNotNull()).approxQuantile(number, [k / parts for k in range(1, parts)], 0.001))) if parts > 1 else []
     if len(edges) > 200:
         inside = F.aggregate(F.array(*map(F.lit, edges)), F.lit(0), lambda n, e: n + F.when(F.col(number) >= e, 1).otherwise(0))
