@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,6 +10,7 @@ from pyspark.sql import functions as F
 from ..contracts import I32, contract
 from ..pipeline import Pipeline, write_parquet_sink
 from ..plans import PlanNode, apply_rules
+from ..scale import shared_folder
 from ..sources import csv, delta, ipc
 from ..sources.parquet import footers, write_partitioned
 from ..streaming.bounded import run_bounded
@@ -19,9 +19,8 @@ from .catalogue import Query
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new folder name in the shared folder of the session; a temporary one only where none is set."""
-    base = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tessel-")
-    return f"{base.rstrip('/')}/tessel-{uuid.uuid4().hex}"
+    """A new folder name in the shared folder of the session."""
+    return f"{shared_folder(spark).rstrip('/')}/tessel-{uuid.uuid4().hex}"
 
 
 def _plain(path: str) -> str:

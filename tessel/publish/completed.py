@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 import os
-import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..scale import shared_path
 from .errors import CompletionIdentityRequired, InvalidManifest, InvalidSnapshot, ManifestViolation, SnapshotViolation
 from .manifest import CompletionManifest, decode_manifest, manifest_key
 from .store import ObjectMeta, ObjectStore
@@ -65,7 +65,7 @@ def download_completed(store: ObjectStore, output_key: str, dest: str) -> Comple
 
 
 def read_completed(spark: SparkSession, store: ObjectStore, output_key: str, folder: str | None = None) -> tuple[DataFrame, CompletionManifest]:
-    """The completed output as a DataFrame over a private copy of its bytes."""
-    dest = os.path.join(folder or tempfile.mkdtemp(prefix="tessel-completed-"), os.path.basename(output_key))
+    """The completed output as a DataFrame over a private copy of its bytes, in the session's shared folder."""
+    dest = os.path.join(folder or shared_path(spark), os.path.basename(output_key))
     manifest = download_completed(store, output_key, dest)
     return spark.read.parquet(f"file://{dest}"), manifest

@@ -7,6 +7,7 @@ its number of bits.
 
 from __future__ import annotations
 
+import os
 import tempfile
 from decimal import Decimal
 
@@ -22,16 +23,26 @@ BLOOM_BITS = 1 << 26
 MOST_RANGES = 4096
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` computed once and kept in the shared checkpoint folder of the session.
-
-    The folder is the one of ``spark.checkpoint.dir``; only where that is unset, as in tests, a temporary
-    one is used.
-    """
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share: that of ``spark.checkpoint.dir``, a temporary one only where that is unset, as in tests."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tessel-"))
+    return sc.getCheckpointDir()
+
+
+def shared_path(spark: SparkSession) -> str:
+    """A new folder below ``shared_folder`` as a path of a mounted file system; other file systems are refused."""
+    base = shared_folder(spark)
+    path = base.removeprefix("file://") if base.startswith("file://") else base.removeprefix("file:")
+    if not path.startswith("/"):
+        raise ValueError(f"{base} is not mounted: use a file system path for spark.checkpoint.dir")
+    return tempfile.mkdtemp(prefix="tessel-", dir=os.makedirs(path, exist_ok=True) or path)
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """``df`` computed once and kept in the shared folder of the session."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

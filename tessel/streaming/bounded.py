@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import os
 import shutil
-import tempfile
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -20,6 +19,7 @@ from ..publish.manifest import CompletionManifest
 from ..publish.publication import publish
 from ..publish.staging import publish_dataframe
 from ..publish.store import ObjectStore
+from ..scale import shared_path
 from ..sources.csv import CsvError, first_bad_row, ingest_csv
 from .budget import budgeted
 from .cancel import CancellationToken
@@ -107,9 +107,10 @@ def run_bounded_store(
     """The same between keys of a store: the input is one identity of the object, the output one file with its manifest."""
     cancel = cancel or CancellationToken()
     cancel.check()
-    folder = tempfile.mkdtemp(prefix="tessel-bounded-")
+    folder = shared_path(spark)
     try:
         source, output = os.path.join(folder, "input.csv"), os.path.join(folder, "output")
+        os.chmod(folder, 0o755)
         meta = download_to_temp(store, input_key, source)
         cancel.check()
 
