@@ -9,7 +9,8 @@ length and, for each value, the bits that single the value out among all it can
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -20,6 +21,8 @@ from ..scale import cut, sized_join
 #: Bits for one sign of an expression, and the share of different values from which an expression is the column's own.
 SIGN_BITS = 8.0
 OWN_SHARE = 0.01
+#: Stands between a table's and a column's name while both are one key.
+_OF = "\x00"
 #: Bits for one letter or digit of a class: A-Z, a-z, other letters, digits; and for a sign of a mixed class.
 CLASS_BITS = {"A": 4.7, "a": 4.7, "L": 11.0, "9": 3.32}
 
@@ -50,13 +53,13 @@ def amount_outside(x: Column) -> Column:
     return (x < 0.01) | (x > 20000)
 
 
-def value_counts(df: DataFrame, columns: list[str], load: str = "load_no") -> DataFrame:
+def value_counts(df: DataFrame, columns: list[str], load: str = "load_no", names: list[str] | None = None) -> DataFrame:
     """``load_no``, ``column_name``, ``value`` (as text), ``number``, ``n`` and ``e1``: the different values of each load
-    with their exact shape."""
+    with their exact shape.  ``names`` are other names for the columns."""
     cells = []
-    for c in columns:
+    for c, name in zip(columns, names or columns):
         number = F.col(c).cast("double") if isinstance(df.schema[c].dataType, T.NumericType) else F.lit(None).cast("double")
-        cells.append(F.struct(F.lit(c).alias("c"), F.col(c).cast("string").alias("v"), number.alias("x")))
+        cells.append(F.struct(F.lit(name).alias("c"), F.col(c).cast("string").alias("v"), number.alias("x")))
     rows = df.select(F.col(load).alias("load_no"), F.explode(F.array(*cells)).alias("_x"))
     counts = rows.groupBy("load_no", F.col("_x.c").alias("column_name"), F.col("_x.v").alias("value"), F.col("_x.x").alias("number")).agg(F.count("*").alias("n"))
     return counts.withColumn("e1", exact_shape(F.col("value")))
@@ -148,16 +151,25 @@ def medians(cells: DataFrame) -> DataFrame:
 
 
 def profile(df: DataFrame, table_name: str, rules: list[ColumnRule], load: str = "load_no") -> DataFrame:
-    """One row for each load and column: counts, range, median and the shares of rows that break patterns.
+    """``profiles`` of one table."""
+    return profiles([(df, table_name, rules)], load)
 
-    ``rules`` names the columns.  ``coverage`` is the share of non-null values under the column's own induced
-    expressions (those of at least ``OWN_SHARE`` of its different values); ``pattern_share`` the share that breaks the
-    declared pattern: values under an induced expression all of whose shapes fit are right, the others are checked.
+
+def profiles(tables: list[tuple[DataFrame, str, list[ColumnRule]]], load: str = "load_no") -> DataFrame:
+    """One row for each load and column of each table: counts, range, median and the shares of rows that break patterns.
+
+    ``tables`` are data, name and rules; the rules name the columns.  ``coverage`` is the share of non-null values under the
+    column's own induced expressions (those of at least ``OWN_SHARE`` of its different values); ``pattern_share`` the share
+    that breaks the declared pattern: values under an induced expression all of whose shapes fit are right, the others are
+    checked.
 
     Repeated rows count as stored.  Measures of a load without non-null values are null; a null load is a load; empty
-    texts are values; an empty table gives no row.
+    texts are values; an empty table gives no row.  All tables are profiled in the same jobs.
     """
-    cells = cut(value_counts(df, [r.name for r in rules], load))
+    named = [(df, [replace(r, name=f"{table}{_OF}{r.name}") for r in rules], [r.name for r in rules]) for df, table, rules in tables]
+    rules = [r for _, own, _ in named for r in own]
+    counts = [value_counts(df, columns, load, [r.name for r in own]) for df, own, columns in named]
+    cells = cut(reduce(DataFrame.unionByName, counts))
     named, shapes = expressions(cells)
     breaks = F.lit(False)
     for r in rules:
@@ -193,7 +205,8 @@ def profile(df: DataFrame, table_name: str, rules: list[ColumnRule], load: str =
         out = out.join(part, F.col("load_no").eqNullSafe(F.col("_l")) & (F.col("column_name") == F.col("_c")), "left").drop("_l", "_c")
     share = lambda x: F.when(F.col("n_values") > 0, F.col(x) / F.col("n_values"))
     return out.select(
-        F.lit(table_name).alias("table_name"), "column_name", "load_no", "n_rows", "n_values", "n_distinct",
+        F.substring_index("column_name", _OF, 1).alias("table_name"), F.substring_index("column_name", _OF, -1).alias("column_name"),
+        "load_no", "n_rows", "n_values", "n_distinct",
         "least_number", "greatest_number", "least_text", "greatest_text",
         ((F.col("n_rows") - F.col("n_values")) / F.col("n_rows")).alias("null_share"), share("n_distinct").alias("distinct_share"),
         F.when(has_pattern, share("n_break")).alias("pattern_share"), F.when(has_range, share("n_outside")).alias("range_share"),

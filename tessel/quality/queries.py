@@ -20,16 +20,15 @@ MEASURES = ["null_share", "distinct_share", "pattern_share", "range_share", "lev
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
-    parts = [profile.profile(table(spark, d, t), t, rules) for t, rules in (("shop_orders", ORDER_RULES), ("headers", HEADER_RULES))]
-    return profile.departures(parts[0].unionByName(parts[1]), MEASURES).select("table_name", "column_name", "load_no", "measure")
+    tables = [(table(spark, d, t), t, rules) for t, rules in (("shop_orders", ORDER_RULES), ("headers", HEADER_RULES))]
+    return profile.departures(profile.profiles(tables), MEASURES).select("table_name", "column_name", "load_no", "measure")
 
 
 def p1_profile(spark: SparkSession, d: str) -> DataFrame:
-    """Every column of both tables for each load, with the departures of the coverage by induced expressions."""
+    """Every column of both tables for each load, with their coverage by induced expressions."""
     others = [profile.ColumnRule(c) for c in ("id", "placed_at", "loaded_at", "deleted_at")]
-    orders = profile.profile(table(spark, d, "shop_orders"), "shop_orders", [*ORDER_RULES, *others])
-    headers = profile.profile(table(spark, d, "headers"), "headers", [*HEADER_RULES, profile.ColumnRule("id"), profile.ColumnRule("note", breaks=profile.note_breaks)])
-    return orders.unionByName(headers)
+    of_headers = [*HEADER_RULES, profile.ColumnRule("id"), profile.ColumnRule("note", breaks=profile.note_breaks)]
+    return profile.profiles([(table(spark, d, "shop_orders"), "shop_orders", [*ORDER_RULES, *others]), (table(spark, d, "headers"), "headers", of_headers)])
 
 
 def p1_expressions(spark: SparkSession, d: str) -> DataFrame:
