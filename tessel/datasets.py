@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 DAY = 86_400_000_000
-#: The notes that orders cycle through, the fifth being none, and the carriers of shipments.
-NOTES = ("First order", "Rush", "Repeat customer", "Gift", None)
-CARRIERS = ("DHL", "UPS", "FedEx", "USPS")
+#: Notes that orders cycle through, the fifth being none, and carriers of shipments.
+NOTES = ("front desk", "blue crate", "call before", "two boxes", None)
+CARRIERS = ("north", "river", "coast", "hill")
 
 
 def _ntz(micros) -> F.Column:

@@ -6,9 +6,7 @@ from enum import Enum
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-
-from ..scale import BROADCAST_ROWS, fits, order_ranges
+from ..scale import BROADCAST_BYTES, cut, in_ranges, is_cut, size_of, sized_join
 
 
 class JoinPlan(Enum):
@@ -18,10 +16,11 @@ class JoinPlan(Enum):
     BROADCAST = "broadcast"
 
 
-def joined(left: DataFrame, right: DataFrame, on: Column | list[str], how: str = "inner", plan: JoinPlan = JoinPlan.AUTO, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """A join with a strategy.  BROADCAST is taken only if the right side has at most ``rows`` rows, else sort-merge."""
+def joined(left: DataFrame, right: DataFrame, on: Column | list[str], how: str = "inner", plan: JoinPlan = JoinPlan.AUTO, most_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """A join with a strategy.  BROADCAST is taken only if the right side, computed once, has at most ``most_bytes``, else sort-merge."""
     if plan is JoinPlan.BROADCAST:
-        plan = JoinPlan.BROADCAST if fits(right, rows) else JoinPlan.SORT_MERGE
+        right = right if is_cut(right) else cut(right)
+        plan = JoinPlan.BROADCAST if size_of(right)[1] <= most_bytes else JoinPlan.SORT_MERGE
     return left.join(right if plan is JoinPlan.AUTO else right.hint(plan.value), on, how)
 
 
@@ -29,24 +28,24 @@ def asof_join(left: DataFrame, right: DataFrame, on: str, left_at: str, right_at
     """Each left row with the ``values`` of the last right row of the same key whose time is not after its own.
 
     Left rows without such a row, a key or a time have nulls; equal right times are decided by the greatest values.
-    One key may hold most rows: keys are cut into ranges of time, and the last right row before a range is carried in.
+    One key, or one time of a key, may hold most rows: both sides are put in order of key and time and cut into ranges; a
+    range is given the last right row before it, which counts for the key that the range starts with.
     """
-    kind = left.schema[left_at].dataType
-    number = (lambda c: F.unix_micros(F.col(c).cast("timestamp")).cast("double")) if isinstance(kind, (T.TimestampType, T.TimestampNTZType)) else (lambda c: F.col(c).cast("double"))
     names = left.columns
-    a = left.select(F.struct(*names).alias("_row"), F.col(on).alias("_k"), number(left_at).alias("_at"), F.lit(None).cast(right.select(F.struct(*values)).schema[0].dataType).alias("_v"), F.lit(1).alias("_side"))
-    b = right.where(F.col(on).isNotNull() & F.col(right_at).isNotNull()).select(F.lit(None).cast(a.schema["_row"].dataType).alias("_row"), F.col(on).alias("_k"), number(right_at).alias("_at"), F.struct(*values).alias("_v"), F.lit(0).alias("_side"))
-    both = a.unionByName(b)
-    both = both.withColumn("_range", order_ranges(both, "_at", rows_per_range))
-    last = both.where(F.col("_side") == 0).groupBy("_k", "_range").agg(F.max(F.struct("_at", "_v")).alias("_m"))
-    starts = both.where(F.col("_k").isNotNull()).select("_k", "_range").distinct().join(last, ["_k", "_range"], "left")
-    carried = F.last("_m", ignorenulls=True).over(Window.partitionBy("_k").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))
-    starts = starts.select("_k", "_range", carried["_v"].alias("_carried"))
-    order = Window.partitionBy("_k", "_range").orderBy(F.asc_nulls_first("_at"), "_side", "_v").rowsBetween(Window.unboundedPreceding, 0)
-    both = both.withColumn("_seen", F.last("_v", ignorenulls=True).over(order)).where(F.col("_side") == 1)
-    both = both.join(starts, ["_k", "_range"], "left")
-    found = F.when(F.col("_k").isNotNull() & F.col("_at").isNotNull(), F.coalesce("_seen", "_carried"))
-    return both.select("_row.*", *(found[v].alias(v if v not in names else f"right_{v}") for v in values))
+    known = F.col("_k").isNotNull() & F.col("_at").isNotNull()
+    a = left.select(F.struct(*names).alias("_row"), F.col(on).alias("_k"), F.col(left_at).alias("_at"), F.lit(None).cast(right.select(F.struct(*values)).schema[0].dataType).alias("_v"), F.lit(1).alias("_side"))
+    b = right.select(F.lit(None).cast(a.schema["_row"].dataType).alias("_row"), F.col(on).alias("_k"), F.col(right_at).cast(a.schema["_at"].dataType).alias("_at"), F.struct(*values).alias("_v"), F.lit(0).alias("_side"))
+    both = in_ranges(a.unionByName(b).where(known), ["_k", "_at", "_side", "_v"], rows_per_range)
+    # one row for each range
+    last = both.groupBy("_range").agg(F.max(F.when(F.col("_side") == 0, F.struct("_k", "_at", "_v"))).alias("_m"))
+    carried = F.last("_m", ignorenulls=True).over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))
+    last = last.select("_range", carried["_k"].alias("_carried_key"), carried["_v"].alias("_carried"))
+    order = Window.partitionBy("_range", "_k").orderBy("_at", "_side", "_v", "_tie").rowsBetween(Window.unboundedPreceding, 0)
+    seen = both.withColumn("_seen", F.last("_v", ignorenulls=True).over(order)).where(F.col("_side") == 1)
+    seen = sized_join(seen, last, ["_range"], "left")
+    found = F.coalesce("_seen", F.when(F.col("_carried_key") == F.col("_k"), F.col("_carried")))
+    seen = seen.select("_row", found.alias("_v")).unionByName(a.where(~known).select("_row", "_v"))
+    return seen.select("_row.*", *(F.col("_v")[v].alias(v if v not in names else f"right_{v}") for v in values))
 
 
 def range_join(points: DataFrame, intervals: DataFrame, at: str, start: str, end: str, width: float, on: list[str] | None = None) -> DataFrame:

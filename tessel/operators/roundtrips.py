@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..contracts import I32, contract
 from ..pipeline import Pipeline, write_parquet_sink
 from ..plans import PlanNode, apply_rules
-from ..scale import shared_folder
+from ..scale import scratch
 from ..sources import csv, delta, ipc
 from ..sources.parquet import footers, write_partitioned
 from ..streaming.bounded import run_bounded
@@ -18,11 +16,6 @@ from ..tables import table
 from .catalogue import Query
 
 
-def scratch(spark: SparkSession) -> str:
-    """A new folder name in the shared folder of the session."""
-    return f"{shared_folder(spark).rstrip('/')}/tessel-{uuid.uuid4().hex}"
-
-
 def _plain(path: str) -> str:
     return path.removeprefix("file://").replace("file:/", "/", 1) if path.startswith("file:") else path
 

@@ -1,9 +1,10 @@
 """Differences between two copies of a table, by content-defined chunking.
 
-Both copies are reduced to key, and two 64-bit hashes of the normalized row, put into buckets by key hash and
-sorted by key.  A chunk ends where a rolling hash over the last keys meets a condition, so a missing or extra row
-moves only the cuts next to it.  Chunk fingerprints are anti-joined; the rows of unmatched chunks show which
-keys differ, and only rows of those keys are read in full and compared field by field.
+Both copies are reduced to three 64-bit hashes, of the key and two of the normalized row, put into buckets by key hash in
+one shuffle and sorted by key hash.  A chunk ends where a rolling hash over the last keys meets a condition, so a missing
+or extra row moves only the cuts next to it.  Chunks whose fingerprint both copies have are dropped; the rows of the
+others show which keys may differ, and only rows of those keys are read in full and compared field by field, by their
+true keys.
 """
 
 from __future__ import annotations
@@ -13,96 +14,103 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..scale import bloom_filter, common_type, cut, might_contain, parts_for, shuffle_parts
+from ..scale import HOT_SHARE, bloom_passes, common_type, cut, hot_keys, parts_for, shuffle_parts, sized_join, with_may
 
 #: A chunk has about this many keys.
-CHUNK_KEYS = 8
+CHUNK_KEYS = 16
 #: Keys in the window of the rolling hash.
 ROLL_KEYS = 3
 #: Rows of a bucket, about.
 BUCKET_ROWS = 200_000
 
 
-def _key(columns: list[str]) -> Column:
-    return F.concat_ws("/", *(F.coalesce(F.col(c).cast("string"), F.lit("\\N")) for c in columns))
+def row_key(parts: list[Column]) -> Column:
+    """A key as text for the report: its parts with ``/`` between them, ``\\N`` for null."""
+    return F.concat_ws("/", *(F.coalesce(p, F.lit("\\N")) for p in parts))
 
 
 def _normal(df: DataFrame, other: DataFrame, key: list[str], fields: list[str]) -> DataFrame:
-    """``_k`` and the fields as text that is equal where the values are; ``_0``, ``_1``, ... are the fields."""
-    out = [_key(key).alias("_k")]
-    for n, f in enumerate(fields):
-        kind = common_type(df.schema[f].dataType, other.schema[f].dataType)
-        out.append(F.col(f).cast(kind).cast("string").alias(f"_{n}"))
-    return df.select(*out)
-
-
-def _hashes(n_fields: int) -> list[Column]:
-    tagged: list[Column] = [F.col("_k")]
-    for n in range(n_fields):
-        tagged += [F.col(f"_{n}").isNull(), F.col(f"_{n}")]
-    return [F.xxhash64(*tagged).alias("_h1"), F.xxhash64(F.lit("second"), *reversed(tagged)).alias("_h2")]
-
-
-def _chunked(rows: DataFrame, n_fields: int, buckets: int) -> DataFrame:
-    """``_k``, ``_h1``, ``_h2``, ``_b``, ``_c``: the different rows of a copy with their bucket and chunk."""
-    light = rows.select("_k", *_hashes(n_fields)).withColumn("_b", F.pmod(F.xxhash64("_k"), F.lit(buckets)))
-    order = Window.partitionBy("_b").orderBy("_k", "_h1", "_h2")
-    before = F.lag(F.struct("_k", "_h1", "_h2")).over(order)
-    light = light.withColumn("_repeat", F.coalesce(before == F.struct("_k", "_h1", "_h2"), F.lit(False)))
-    light = light.where(~F.col("_repeat")).drop("_repeat")
-    rolling = F.bit_xor(F.shiftrightunsigned(F.xxhash64(F.lit("roll"), F.col("_k")), 7)).over(order.rowsBetween(1 - ROLL_KEYS, 0))
-    first = F.coalesce(F.lag("_k").over(order) != F.col("_k"), F.lit(True))
-    light = light.withColumn("_cut", (first & (F.pmod(rolling, F.lit(CHUNK_KEYS)) == 0)).cast("long"))
-    return light.withColumn("_c", F.sum("_cut").over(order.rowsBetween(Window.unboundedPreceding, 0))).drop("_cut")
-
-
-def _prints(chunked: DataFrame) -> DataFrame:
-    return chunked.groupBy("_b", "_c").agg(F.bit_xor("_h1").alias("_p1"), F.bit_xor("_h2").alias("_p2"), F.count("*").alias("_n"))
-
-
-def differing_keys(left: DataFrame, right: DataFrame, n_fields: int) -> DataFrame:
-    """``_k`` of each key whose set of different rows is not the same on both sides."""
-    rows = max(left.count(), right.count())
-    buckets = parts_for(rows, BUCKET_ROWS, shuffle_parts(left.sparkSession))
-    sides = [_chunked(x, n_fields, buckets) for x in (left, right)]
-    prints = [_prints(x) for x in sides]
-    by = ["_b", "_p1", "_p2", "_n"]
-    out = []
-    for mine, own, other in ((0, prints[0], prints[1]), (1, prints[1], prints[0])):
-        unmatched = own.join(other.select(*by).distinct(), by, "left_anti").select("_b", "_c")
-        out.append(sides[mine].join(unmatched, ["_b", "_c"], "left_semi").select("_k", "_h1", "_h2", F.lit(mine).alias("_side")))
+    """``_h``, the hash of the key, and text that is equal where values are: ``_k0``, ... the parts of the key, ``_0``, ... the fields."""
+    text = lambda c: F.col(c).cast(common_type(df.schema[c].dataType, other.schema[c].dataType)).cast("string")
+    out = df.select(*(text(c).alias(f"_k{n}") for n, c in enumerate(key)), *(text(c).alias(f"_{n}") for n, c in enumerate(fields)))
+    return out.select(F.xxhash64(*_tagged([f"_k{n}" for n in range(len(key))])).alias("_h"), "*")
+
+
+def _tagged(columns: list[str]) -> list[Column]:
+    return [x for c in columns for x in (F.col(c).isNull(), F.col(c))]
+
+
+def _light(rows: DataFrame, side: int) -> DataFrame:
+    """``_side``, ``_h`` and two hashes of the whole row."""
+    tagged = _tagged([c for c in rows.columns if c != "_h"])
+    return rows.select(F.lit(side).alias("_side"), "_h", F.xxhash64(*tagged).alias("_h1"), F.xxhash64(F.lit("second"), *reversed(tagged)).alias("_h2"))
+
+
+def chunked(sides: list[DataFrame], buckets: int, hot: list[int] = []) -> DataFrame:  # noqa: B006
+    """``_b``, ``_side``, ``_h``, ``_h1``, ``_h2`` and ``_c``: the different rows of both copies with their bucket and chunk.
+
+    Rows of the ``hot`` key hashes are reduced to different ones before they move, and spread over all buckets by their
+    content.
+    """
+    rows = reduce(DataFrame.unionByName, [_light(x, n) for n, x in enumerate(sides)])
+    is_hot = F.col("_h").isin(hot) if hot else F.lit(False)
+    if hot:
+        rows = rows.where(~is_hot).unionByName(rows.where(is_hot).distinct())
+    place = F.when(is_hot, F.col("_h1")).otherwise(F.col("_h"))
+    rows = rows.withColumn("_p", place).withColumn("_b", F.pmod(F.shiftrightunsigned("_p", 20), F.lit(buckets)).cast("int")).repartition(buckets, "_b")
+    order = Window.partitionBy("_b", "_side").orderBy("_p", "_h", "_h1", "_h2")
+    row = F.struct("_h", "_h1", "_h2")
+    rows = rows.withColumn("_new", F.coalesce(F.lag(row).over(order) != row, F.lit(True))).where("_new")
+    rolling = F.bit_xor(F.shiftrightunsigned(F.xxhash64(F.lit("roll"), F.col("_p")), 7)).over(order.rowsBetween(1 - ROLL_KEYS, 0))
+    first = F.coalesce(F.lag("_p").over(order) != F.col("_p"), F.lit(True))
+    rows = rows.withColumn("_cut", (first & (F.pmod(rolling, F.lit(CHUNK_KEYS)) == 0)).cast("long"))
+    return rows.select("_b", "_side", "_h", "_h1", "_h2", F.sum("_cut").over(order.rowsBetween(Window.unboundedPreceding, 0)).alias("_c"))
+
+
+def prints(rows: DataFrame) -> DataFrame:
+    """One row for each chunk: its fingerprint ``_p1``, ``_p2``, ``_n`` and its rows."""
+    return rows.groupBy("_b", "_side", "_c").agg(
+        F.bit_xor("_h1").alias("_p1"), F.bit_xor("_h2").alias("_p2"), F.count("*").alias("_n"), F.collect_list(F.struct("_h", "_h1", "_h2")).alias("_rows")
+    )
+
+
+def differing(sides: list[DataFrame], buckets: int, hot: list[int] = []) -> DataFrame:  # noqa: B006
+    """``_h`` of the keys that are not proved to have the same different rows on both sides; the copies meet in the buckets of one shuffle."""
+    same = Window.partitionBy("_b", "_p1", "_p2", "_n")
+    chunks = prints(chunked(sides, buckets, hot)).withColumns({"_lo": F.min("_side").over(same), "_hi": F.max("_side").over(same)})
+    # the anti-join of fingerprints: chunks that stand on one side only
+    rows = chunks.where(F.col("_lo") == F.col("_hi")).select("_b", "_side", F.explode("_rows").alias("_r")).select("_b", "_side", "_r.*")
     # a row that stands in unmatched chunks of both sides is no difference
-    single = out[0].unionByName(out[1]).groupBy("_k", "_h1", "_h2").agg(F.min("_side").alias("_lo"), F.max("_side").alias("_hi"))
-    return single.where(F.col("_lo") == F.col("_hi")).select("_k").distinct()
+    single = rows.groupBy("_b", "_h", "_h1", "_h2").agg(F.min("_side").alias("_lo"), F.max("_side").alias("_hi"))
+    return single.where(F.col("_lo") == F.col("_hi")).select("_h").distinct()
 
 
 def differences(left: DataFrame, right: DataFrame, key: list[str], fields: list[str], dataset: str) -> DataFrame:
     """``dataset``, ``row_key``, ``difference``: ``only_left``, ``only_right`` or the name of a field that differs.
 
-    Numbers compare by value, texts exactly, null equals only null; repeated rows count once.  A null part of a
-    key is written ``\\N``.  If a key has several different rows on a side, a field differs when its set of values
-    does.  Columns that are neither key nor field are not read; two empty copies have no difference.
+    Numbers compare by value, texts exactly, null equals only null, in keys as in fields; repeated rows count once.  Keys
+    are compared part by part; a null part of a key is written ``\\N`` in ``row_key``.  If a key has several different rows
+    on a side, a field differs when its set of values does.  Columns that are neither key nor field are not read; two
+    empty copies have no difference.
     """
-    spark = left.sparkSession
     sides = [_normal(left, right, key, fields), _normal(right, left, key, fields)]
-    keys = cut(differing_keys(*sides, len(fields)))
-    n_keys = keys.count()
-    bloom = bloom_filter(keys, F.col("_k"), n_keys)
-    found = [
-        x.where(might_contain(spark, bloom, F.col("_k"))).join(keys, "_k", "left_semi").withColumn("_side", F.lit(n)) for n, x in enumerate(sides)
-    ]
-    rows = found[0].unionByName(found[1])
-    values = rows.select(
-        "_k", "_side", F.explode(F.array(F.struct(F.lit(None).cast("string").alias("f"), F.lit(None).cast("string").alias("v")), *(F.struct(F.lit(f).alias("f"), F.col(f"_{n}").alias("v")) for n, f in enumerate(fields)))).alias("_x")
-    )
-    values = values.groupBy("_k", F.col("_x.f").alias("_f"), F.col("_x.v").alias("_v")).agg(F.min("_side").alias("_lo"), F.max("_side").alias("_hi"))
+    n_rows = max(left.count(), right.count())
+    hot = sorted({r[0] for x in sides for r in hot_keys(x, "_h", HOT_SHARE).collect()}) if n_rows > BUCKET_ROWS else []
+    keys = cut(differing(sides, parts_for(2 * n_rows, BUCKET_ROWS, shuffle_parts(left.sparkSession)), hot))
+    passes = bloom_passes(keys, F.col("_h"), keys.count(), F.col("_h"))
+    found = [sized_join(with_may(x, passes).where("_may").drop("_may"), keys, ["_h"], "left_semi").withColumn("_side", F.lit(n)) for n, x in enumerate(sides)]
+    parts = [f"_k{n}" for n in range(len(key))]
+    cells = [F.struct(F.lit(None).cast("string").alias("f"), F.lit(None).cast("string").alias("v"))]
+    cells += [F.struct(F.lit(f).alias("f"), F.col(f"_{n}").alias("v")) for n, f in enumerate(fields)]
+    values = found[0].unionByName(found[1]).select(*parts, "_side", F.explode(F.array(*cells)).alias("_x"))
+    values = values.groupBy(*parts, F.col("_x.f").alias("_f"), F.col("_x.v").alias("_v")).agg(F.min("_side").alias("_lo"), F.max("_side").alias("_hi"))
     # the row without field tells which sides have the key at all
-    per_key = values.groupBy("_k").agg(
+    per_key = values.groupBy(*parts).agg(
         F.max(F.when(F.col("_f").isNull(), F.col("_lo") * 2 + F.col("_hi"))).alias("_where"),
         F.collect_set(F.when(F.col("_f").isNotNull() & (F.col("_lo") == F.col("_hi")), F.col("_f"))).alias("_fields"),
     )
     what = F.when(F.col("_where") == 0, F.array(F.lit("only_left"))).when(F.col("_where") == 3, F.array(F.lit("only_right"))).otherwise(F.col("_fields"))
-    return per_key.select(F.lit(dataset).alias("dataset"), F.col("_k").alias("row_key"), F.explode(what).alias("difference"))
+    return per_key.select(F.lit(dataset).alias("dataset"), row_key([F.col(p) for p in parts]).alias("row_key"), F.explode(what).alias("difference"))
 
 
 def all_differences(parts: list[DataFrame]) -> DataFrame:

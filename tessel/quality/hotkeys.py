@@ -1,9 +1,10 @@
 """Per-key results where a few keys hold most rows, by dense accumulator arrays.
 
-Each input split dictionary-encodes its keys and reduces its rows into dense arrays by ``bincount`` and
-scatter-min/max, so a hot key leaves a split as one slot.  The arrays travel in blocks: a key's block is given
-by its hash, and the blocks of all splits are summed slot by slot in two distributed reductions, first within
-groups of splits, then over all.  A task has at most one split of rows, or the arrays of its blocks.
+Rows are taken in splits of equal length.  Each split dictionary-encodes its keys and reduces its rows into dense arrays by
+``bincount`` and scatter-min/max, so a hot key leaves a split as one slot.  All keys belong to one dictionary that is cut
+into blocks by the hash of the key; what a split sends to a block is one row with its keys and their array slots.  The
+arrays of a block are summed slot by slot over the block's dictionary.  There are so many blocks that one has about
+``BLOCK_KEYS`` keys, and a task holds one block at a time, so its memory stays the same as keys and rows grow.
 """
 
 from __future__ import annotations
@@ -16,22 +17,21 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..scale import shuffle_parts
+from ..scale import parts_for, shuffle_parts
 
-#: Slots of accumulators a task keeps before it sends them on.
-SLOTS = 250_000
-#: Groups of splits that are summed before the sum over all.
-SPLIT_GROUPS = 8
+#: Rows of a split, and keys of a block, about.
+SPLIT_ROWS = 1_000_000
+BLOCK_KEYS = 32_768
 
-_PARTS = pa.schema(
-    [("block", pa.int32()), ("field", pa.string()), ("key_value", pa.string()), ("n_rows", pa.int64()), ("first_at", pa.timestamp("us")), ("last_at", pa.timestamp("us"))]
-)
-_PARTS_DDL = "block int, field string, key_value string, n_rows bigint, first_at timestamp_ntz, last_at timestamp_ntz"
+_SENT = pa.schema([("block", pa.int64()), ("field", pa.int32()), ("keys", pa.list_(pa.string())), ("n", pa.list_(pa.int64())), ("first", pa.list_(pa.int64())), ("last", pa.list_(pa.int64()))])
+_SENT_DDL = "block bigint, field int, keys array<string>, n array<bigint>, first array<bigint>, last array<bigint>"
+_RESULT_DDL = "field string, key_value string, n_rows bigint, first_at timestamp_ntz, last_at timestamp_ntz"
+#: Stands for no time.
 _NONE = np.iinfo(np.int64).max
 
 
-def _scatter(codes: np.ndarray, slots: int, n: np.ndarray | None, first: np.ndarray, last: np.ndarray):
-    """Dense arrays of count, least and greatest over ``codes``; ``_NONE`` stands for no time."""
+def _scatter(codes: np.ndarray, slots: int, n: np.ndarray | None, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Dense arrays of count, least and greatest over ``codes``."""
     if n is None:
         counts = np.bincount(codes, minlength=slots).astype(np.int64)
     else:
@@ -43,79 +43,83 @@ def _scatter(codes: np.ndarray, slots: int, n: np.ndarray | None, first: np.ndar
     return counts, low, high
 
 
-def _times(array: pa.Array, none: int) -> np.ndarray:
-    return pc.fill_null(array.cast(pa.timestamp("us")).cast(pa.int64()), none).to_numpy(zero_copy_only=False)
-
-
-class _Slots:
-    """Accumulators of one split: a dictionary of keys and the arrays that belong to its codes."""
-
-    def __init__(self):
-        self.parts: list[pa.Table] = []
-        self.rows = 0
-
-    def add(self, part: pa.Table) -> Iterator[pa.RecordBatch]:
-        self.parts.append(part)
-        self.rows += part.num_rows
-        if self.rows >= 2 * SLOTS:
-            yield from self.reduce()
-
-    def reduce(self, end: bool = False) -> Iterator[pa.RecordBatch]:
-        """Sums slots of equal keys; sends them on at the end or if that leaves too many."""
-        if not self.parts:
-            return
-        t = pa.concat_tables(self.parts).combine_chunks()
-        both = pc.binary_join_element_wise(t["field"], t["key_value"], "\x00").combine_chunks()
-        codes = both.dictionary_encode()
-        index = codes.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-        slots = len(codes.dictionary)
-        counts, low, high = _scatter(
-            index, slots, t["n_rows"].to_numpy(), _times(t["first_at"].combine_chunks(), _NONE), _times(t["last_at"].combine_chunks(), -_NONE)
-        )
-        where = np.zeros(slots, np.int64)
-        where[index[::-1]] = np.arange(len(index) - 1, -1, -1)
-        t = t.take(pa.array(where))
-        t = pa.table([t["block"], t["field"], t["key_value"], pa.array(counts), _stamps(low, _NONE), _stamps(high, -_NONE)], schema=_PARTS)
-        self.parts, self.rows = [t], t.num_rows
-        if end or self.rows >= SLOTS:
-            self.parts, self.rows = [], 0
-            yield from t.to_batches(max_chunksize=100_000)
-
-
 def _stamps(values: np.ndarray, none: int) -> pa.Array:
     return pa.array(values, pa.int64(), mask=values == none).cast(pa.timestamp("us"))
 
 
-def _encode_splits(fields: list[str]):
-    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept = _Slots()
+def _reduce_splits(n_fields: int, blocks: int, split_rows: int):
+    from pandas.util import hash_array
+
+    def reduced(batches: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The arrays of one split, a row for each field and block."""
+        t = pa.Table.from_batches(batches).combine_chunks()
+        at = t.column(n_fields).combine_chunks().cast(pa.timestamp("us")).cast(pa.int64())
+        low, high = (pc.fill_null(at, none).to_numpy(zero_copy_only=False) for none in (_NONE, -_NONE))
+        for k in range(n_fields):
+            codes = t.column(k).combine_chunks().dictionary_encode()
+            codes = codes.combine_chunks() if isinstance(codes, pa.ChunkedArray) else codes
+            some = codes.indices.is_valid().to_numpy(zero_copy_only=False)
+            index = pc.fill_null(codes.indices, 0).to_numpy(zero_copy_only=False)[some]
+            keys = codes.dictionary.cast(pa.string())
+            if not len(index):
+                continue
+            counts, first, last = _scatter(index, len(keys), None, low[some], high[some])
+            block = (hash_array(keys.to_numpy(zero_copy_only=False), categorize=False) % np.uint64(blocks)).astype(np.int64)
+            order = np.argsort(block, kind="stable")
+            own, starts = np.unique(block[order], return_index=True)
+            offsets = pa.array(np.append(starts, len(order)), pa.int32())
+            lists = [pa.ListArray.from_arrays(offsets, x) for x in (keys.take(pa.array(order)), *(pa.array(a[order]) for a in (counts, first, last)))]
+            yield from pa.Table.from_arrays([pa.array(own), pa.array(np.full(len(own), k, np.int32)), *lists], schema=_SENT).to_batches(max_chunksize=1_000)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, rows = [], 0
+        for batch in batches:
+            while rows + batch.num_rows >= split_rows:
+                held.append(batch.slice(0, split_rows - rows))
+                batch = batch.slice(split_rows - rows)
+                yield from reduced(held)
+                held, rows = [], 0
+            if batch.num_rows:
+                held.append(batch)
+                rows += batch.num_rows
+        if held:
+            yield from reduced(held)
+
+    return run
+
+
+def _sum_blocks(fields: list[str], block_keys: int):
+    def summed(parts: list[tuple]) -> tuple:
+        """One set of arrays over the dictionary of the keys of ``parts``."""
+        codes = pa.concat_arrays([p[0] for p in parts]).dictionary_encode()
+        index = codes.indices.to_numpy(zero_copy_only=False)
+        return codes.dictionary, *_scatter(index, len(codes.dictionary), *(np.concatenate([p[k] for p in parts]) for k in (1, 2, 3)))
+
+    def result(field: int, parts: list[tuple]) -> Iterator[pa.RecordBatch]:
+        keys, counts, first, last = summed(parts)
+        name = pa.array([fields[field]], pa.string()).take(pa.array(np.zeros(len(keys), np.int64)))
+        columns = [name, keys, pa.array(counts), _stamps(first, _NONE), _stamps(last, -_NONE)]
+        yield from pa.Table.from_arrays(columns, names=["field", "key_value", "n_rows", "first_at", "last_at"]).to_batches(max_chunksize=10_000)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, parts, held = None, [], 0
         for batch in batches:
-            at = batch.column(len(fields))
-            low, high = _times(at, _NONE), _times(at, -_NONE)
-            for k, field in enumerate(fields):
-                codes = batch.column(k).dictionary_encode()
-                some = codes.indices.is_valid().to_numpy(zero_copy_only=False)
-                index = pc.fill_null(codes.indices, 0).to_numpy(zero_copy_only=False)
-                slots = len(codes.dictionary)
-                if not slots:
-                    continue
-                counts, first, last = _scatter(index[some], slots, None, low[some], high[some])
-                part = pa.table(
-                    [pa.nulls(slots, pa.int32()), pa.array([field]).take(pa.array(np.zeros(slots, np.int64))), codes.dictionary.cast(pa.string()), pa.array(counts), _stamps(first, _NONE), _stamps(last, -_NONE)],
-                    schema=_PARTS,
-                )
-                yield from kept.add(part)
-        yield from kept.reduce(end=True)
-
-    return encode
-
-
-def _sum_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    kept = _Slots()
-    for batch in batches:
-        if batch.num_rows:
-            yield from kept.add(pa.Table.from_batches([batch]).cast(_PARTS))
-    yield from kept.reduce(end=True)
+            block, field = (batch.column(k).to_numpy() for k in (0, 1))
+            for r in range(batch.num_rows):
+                if (block[r], field[r]) != now:
+                    if parts:
+                        yield from result(now[1], parts)
+                    now, parts, held = (block[r], field[r]), [], 0
+                part = batch.column(2)[r].values, *(batch.column(k)[r].values.to_numpy() for k in (3, 4, 5))
+                parts.append(part)
+                held += len(part[0])
+                if held > 4 * block_keys and held > 2 * len(parts[0][0]):
+                    parts = [summed(parts)]
+                    held = len(parts[0][0])
+        if parts:
+            yield from result(now[1], parts)
+
+    return run
 
 
 def per_key(df: DataFrame, fields: list[str], at: str) -> DataFrame:
@@ -124,24 +128,13 @@ def per_key(df: DataFrame, fields: list[str], at: str) -> DataFrame:
     Null keys have no result, null times do not count for the range; repeated rows count as stored; an empty
     table gives no row.  Columns other than ``fields`` and ``at`` are not read.
     """
-    spark = df.sparkSession
-    parts = shuffle_parts(spark)
-    block = F.pmod(F.xxhash64("field", "key_value"), F.lit(4096)).cast("int")
-    rows = df.select(*(F.col(f).alias(f"_{k}") for k, f in enumerate(fields)), F.col(at).cast("timestamp_ntz").alias("_at"))
-    split = rows.mapInArrow(_encode_splits(fields), _PARTS_DDL).withColumn("block", block)
-    group = F.pmod(F.spark_partition_id(), F.lit(SPLIT_GROUPS))
-    grouped = split.withColumn("_group", group).repartition(parts, "block", "_group").drop("_group").mapInArrow(_sum_blocks, _PARTS_DDL)
-    summed = grouped.withColumn("block", block).repartition(parts, "block").mapInArrow(_final_blocks, _PARTS_DDL)
-    return summed.drop("block")
-
-
-def _final_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """All slots of a key must meet, so nothing is sent on before the end; a block has a bounded share of the keys."""
-    kept = _Slots()
-    for batch in batches:
-        if batch.num_rows:
-            kept.parts.append(pa.Table.from_batches([batch]).cast(_PARTS))
-    yield from kept.reduce(end=True)
+    found = df.agg(*(F.approx_count_distinct(f) for f in fields)).first()
+    parts = shuffle_parts(df.sparkSession)
+    blocks = parts_for(max(found), BLOCK_KEYS, parts)
+    rows = df.select(*(F.col(f).cast("string").alias(f"_{k}") for k, f in enumerate(fields)), F.col(at).cast("timestamp_ntz").alias("_at"))
+    sent = rows.mapInArrow(_reduce_splits(len(fields), blocks, SPLIT_ROWS), _SENT_DDL)
+    met = sent.repartition(min(parts, len(fields) * blocks), "block", "field").sortWithinPartitions("block", "field")
+    return met.mapInArrow(_sum_blocks(fields, BLOCK_KEYS), _RESULT_DDL)
 
 
 def heavy_keys(results: DataFrame, total_rows: int, share: float = 0.01) -> DataFrame:

@@ -1,8 +1,9 @@
 """References to records that do not exist.
 
-A Bloom filter over the parent keys proves most orphans without any shuffle.  Only references that pass it
-are verified by an exact join with one row of facts for each parent; keys that hold a thousandth of the
-references or more (a thousand of them at most) meet their facts by broadcast, so no task gets a hot key.
+A Bloom filter over the parent keys, of ten bits for each however many there are, proves most orphans without any
+shuffle.  Only references that pass it are verified by an exact join with one row of facts for each parent; keys that
+hold a thousandth of the references or more (a thousand of them at most) meet their facts by broadcast, in the scan that
+finds the definite orphans, so no task gets a hot key.
 """
 
 from __future__ import annotations
@@ -10,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..scale import bloom_filter, hot_keys, might_contain
+from ..scale import bloom_passes, hot_keys, with_may
 
 HOT_SHARE = 0.001
 
@@ -34,33 +35,28 @@ def orphan_references(
     case of the kind that needs it.  Repeated rows count once; an empty parent table makes every reference
     ``missing``; other columns of either table, whatever their names, are not read.
     """
-    spark = refs.sparkSession
     wanted = list(dict.fromkeys(keep))
     refs = refs.where(F.col(ref_key).isNotNull()).select(
         F.col(ref_key).alias("_key"), F.col(seen_at).alias("_seen"), *(F.col(c).alias(f"_keep_{k}") for k, c in enumerate(wanted))
     )
     kept = [F.col(f"_keep_{k}").alias(c) for k, c in enumerate(wanted)]
-    facts = (
-        parents.where(F.col(parent_key).isNotNull())
-        .groupBy(F.col(parent_key).alias("_key"))
-        .agg(F.min(parent_seen_at).alias("_first"), F.min(parent_deleted_at).alias("_gone"))
-    )
-    bloom = bloom_filter(parents, F.col(parent_key), parents.count())
-    passes = might_contain(spark, bloom, F.col("_key"))
-    definite = refs.where(~passes).select(*kept, F.lit("missing").alias("kind"))
 
-    hot = F.broadcast(hot_keys(refs.select("_key"), "_key", HOT_SHARE).select("_key"))
-    hot_facts = hot.join(facts.withColumn("_there", F.lit(True)), "_key", "left")
-    candidates = refs.where(passes)
-    warm = candidates.join(F.broadcast(hot_facts), "_key")
-    cold = candidates.join(hot, "_key", "left_anti").join(facts.withColumn("_there", F.lit(True)), "_key", "left")
+    def facts(of: DataFrame) -> DataFrame:
+        own = of.where(F.col(parent_key).isNotNull()).groupBy(F.col(parent_key).alias("_key"))
+        return own.agg(F.min(parent_seen_at).alias("_first"), F.min(parent_deleted_at).alias("_gone")).withColumn("_there", F.lit(True))
+
+    hot = [r[0] for r in hot_keys(refs, "_key", HOT_SHARE).collect()]
+    refs = with_may(refs, bloom_passes(parents, F.col(parent_key), parents.count(), F.col("_key")))
+    is_hot = F.col("_key").isin(hot)
+    # one scan for what needs no shuffle, one for what does
+    still = refs.where(is_hot | ~F.col("_may")).join(F.broadcast(facts(parents.where(F.col(parent_key).isin(hot)))), "_key", "left")
+    moved = refs.where(F.col("_may") & ~is_hot).join(facts(parents), "_key", "left")
     kind = (
         F.when(F.col("_there").isNull(), "missing")
         .when(F.col("_first") > F.col("_seen"), "late")
         .when(F.col("_gone") <= F.col("_seen"), "deleted")
     )
-    verified = warm.unionByName(cold).withColumn("kind", kind).where(F.col("kind").isNotNull()).select(*kept, "kind")
-    return definite.unionByName(verified).distinct()
+    return still.unionByName(moved).withColumn("kind", kind).where(F.col("kind").isNotNull()).select(*kept, "kind").distinct()
 
 
 def orphan_report(orphans: DataFrame, table_name: str, at: str = "shipped_at", id_column: str = "shipment_id") -> DataFrame:

@@ -21,19 +21,28 @@ MEASURES = ["null_share", "distinct_share", "pattern_share", "range_share", "lev
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
     tables = [(table(spark, d, t), t, rules) for t, rules in (("shop_orders", ORDER_RULES), ("headers", HEADER_RULES))]
-    return profile.departures(profile.profiles(tables), MEASURES).select("table_name", "column_name", "load_no", "measure")
+    return profile.departures(profile.profiles(tables, full=False), MEASURES).select("table_name", "column_name", "load_no", "measure")
+
+
+def _every_column(spark: SparkSession, d: str) -> list[tuple[DataFrame, str, list[profile.ColumnRule]]]:
+    of_orders = [*ORDER_RULES, *(profile.ColumnRule(c) for c in ("id", "placed_at", "loaded_at", "deleted_at"))]
+    of_headers = [*HEADER_RULES, profile.ColumnRule("id"), profile.ColumnRule("note", breaks=profile.note_breaks)]
+    return [(table(spark, d, t), t, rules) for t, rules in (("shop_orders", of_orders), ("headers", of_headers))]
 
 
 def p1_profile(spark: SparkSession, d: str) -> DataFrame:
     """Every column of both tables for each load, with their coverage by induced expressions."""
-    others = [profile.ColumnRule(c) for c in ("id", "placed_at", "loaded_at", "deleted_at")]
-    of_headers = [*HEADER_RULES, profile.ColumnRule("id"), profile.ColumnRule("note", breaks=profile.note_breaks)]
-    return profile.profiles([(table(spark, d, "shop_orders"), "shop_orders", [*ORDER_RULES, *others]), (table(spark, d, "headers"), "headers", of_headers)])
+    return profile.profiles(_every_column(spark, d))
 
 
 def p1_expressions(spark: SparkSession, d: str) -> DataFrame:
-    orders = profile.expression_shares(table(spark, d, "shop_orders"), "shop_orders", ["note", "amount"])
-    return orders.unionByName(profile.expression_shares(table(spark, d, "headers"), "headers", ["name"]))
+    """How every column's own expressions are spread over its loads."""
+    return profile.expression_shares([(df, t, [r.name for r in rules]) for df, t, rules in _every_column(spark, d)])
+
+
+def p1_coverage(spark: SparkSession, d: str) -> DataFrame:
+    """The loads in which an expression covers a share of a column unlike its usual one."""
+    return profile.coverage_changes(p1_expressions(spark, d))
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
@@ -90,7 +99,7 @@ def p4_alternatives(spark: SparkSession, d: str) -> DataFrame:
     return drift.alternatives(table(spark, d, "manifest_lines"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_profile, p1_expressions, p2_found, p2_report, p3_found, p3_loaded, p3_report, p4_found, p4_table, p4_alternatives, p5_found, p5_per_key, p6_found, p6_summary)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_profile, p1_expressions, p1_coverage, p2_found, p2_report, p3_found, p3_loaded, p3_report, p4_found, p4_table, p4_alternatives, p5_found, p5_per_key, p6_found, p6_summary)}
 
 _P2 = """
 WITH o AS (SELECT id, min(loaded_at) AS first_at, min(deleted_at) AS gone_at FROM shop_orders WHERE id IS NOT NULL GROUP BY id),

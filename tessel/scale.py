@@ -1,33 +1,48 @@
 """Building blocks that keep plans safe for large and uneven data.
 
-Nothing is broadcast here without a bound on its size: a side is counted first, a set of hot keys is
-bounded by arithmetic (at most ``1 / share`` keys can hold ``share`` of the rows), and a Bloom filter by
-its number of bits.
+Nothing is broadcast here without a bound on its bytes: a side is measured first, a set of hot keys is bounded by
+arithmetic (at most ``1 / share`` keys can hold ``share`` of the rows), and a Bloom filter is used in passes of bounded
+size.  Salts come from measured shares of keys.  What a sample is drawn for decides only where rows are worked on, never
+what comes out.
 """
 
 from __future__ import annotations
 
+import math
 import os
 import tempfile
+import uuid
 from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Rows up to which a counted side is broadcast.
-BROADCAST_ROWS = 200_000
-#: Most bits of a Bloom filter (8 MB).
-BLOOM_BITS = 1 << 26
-#: Most ranges of an order; beyond that ranges get larger, so plans stay small.
-MOST_RANGES = 4096
+#: Bytes up to which a measured side is broadcast.
+BROADCAST_BYTES = 8 << 20
+#: A key with this share of the rows is hot; a thousand keys can be at most.
+HOT_SHARE = 0.001
+#: Rows of the sample that hot keys are told from, about; a smaller table is read whole.
+HOT_SAMPLE = 1_000_000
+#: A Bloom filter is made in pieces of this many keys, each of ``BLOOM_BITS`` bits a key (5 MB).
+PIECE_KEYS = 4_000_000
+BLOOM_BITS = 10
+#: Pieces that one pass over the probing rows holds (80 MB).
+PASS_PIECES = 16
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share: that of ``spark.checkpoint.dir``, a temporary one only where that is unset, as in tests."""
+    """The folder that all executors share: that of ``spark.checkpoint.dir``.
+
+    Where that is unset, a local session (as in tests) gets a temporary folder; on a cluster it is an error, for executors
+    would not see such a folder.
+    """
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tessel-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not (sc.master == "local" or sc.master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="tessel-"))
     return sc.getCheckpointDir()
 
 
@@ -40,44 +55,93 @@ def shared_path(spark: SparkSession) -> str:
     return tempfile.mkdtemp(prefix="tessel-", dir=os.makedirs(path, exist_ok=True) or path)
 
 
+def scratch(spark: SparkSession) -> str:
+    """A new folder name in the shared folder; what is written there is removed when the session's driver ends."""
+    out = f"{shared_folder(spark).rstrip('/')}/tessel-{uuid.uuid4().hex}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(out)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(path)
+    return out
+
+
 def cut(df: DataFrame) -> DataFrame:
     """``df`` computed once and kept in the shared folder of the session."""
     shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
-def fits(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
-    """Whether ``df`` has at most ``rows`` rows; counts no further than that."""
-    return df.limit(rows + 1).count() <= rows
+def is_cut(df: DataFrame) -> bool:
+    """Whether ``df`` is what ``cut`` gives, or columns and rows chosen from it, so that reading it twice costs little."""
+    node = df._jdf.queryExecution().analyzed()
+    while node.nodeName() in ("Project", "Filter", "SubqueryAlias"):
+        node = node.children().apply(0)
+    return node.nodeName() in ("LogicalRDD", "LocalRelation", "Range")
+
+
+def _width(field: T.StructField) -> Column:
+    kind, c = field.dataType, F.col(f"`{field.name}`")
+    if isinstance(kind, (T.StringType, T.BinaryType)):
+        return F.coalesce(F.octet_length(c), F.lit(0)) + 16
+    if isinstance(kind, (T.ArrayType, T.MapType, T.StructType)):
+        return F.coalesce(F.octet_length(F.to_json(F.struct(c))), F.lit(0)) + 32
+    return F.lit(16)
+
+
+def size_of(df: DataFrame) -> tuple[int, int]:
+    """Rows and bytes of ``df``, about as they are in memory."""
+    row = df.agg(F.count("*"), F.sum(sum((_width(f) for f in df.schema), F.lit(16)).cast("bigint"))).first()
+    return row[0], row[1] or 0
+
 
+def hot_hashes(df: DataFrame, on: list[str], share: float = HOT_SHARE, most: int | None = None) -> dict[int, float]:
+    """Hash and share of rows of each non-null key that holds at least ``share`` of the rows, told from a sample."""
+    rows = df.count()
+    if not rows:
+        return {}
+    part = min(1.0, (most or HOT_SAMPLE) / rows)
+    some = df.select(*on) if part == 1.0 else df.select(*on).sample(part, seed=1)
+    least = max(2, math.ceil(rows * part * share))
+    for c in on:
+        some = some.where(F.col(c).isNotNull())
+    found = some.groupBy(F.xxhash64(*on).alias("h")).agg(F.count("*").alias("n")).where(F.col("n") >= least)
+    return {r.h: r.n / (rows * part) for r in found.collect()}
 
-def sized_join(
-    big: DataFrame, small: DataFrame, on: list[str], how: str = "inner", rows: int = BROADCAST_ROWS, salts: int = 16
-) -> DataFrame:
-    """Equi-join of an uneven side with one that is unique in ``on``.
 
-    Broadcasts ``small`` if it has at most ``rows`` rows.  Otherwise both sides are salted, so that a key that
-    holds a third of ``big`` is spread over ``salts`` tasks.  ``how`` is inner, left, left_semi or left_anti.
+def sized_join(big: DataFrame, small: DataFrame, on: list[str], how: str = "inner", most_bytes: int | None = None) -> DataFrame:
+    """Equi-join of an uneven side with one that is unique in ``on``.  ``how`` is inner, left, left_semi or left_anti.
+
+    ``small`` is computed once and measured; it is broadcast if it has at most ``most_bytes``.  Otherwise rows of hot keys
+    are spread over as many salts as their measured share asks for, and rows with a null in ``on``, which match nothing,
+    over all tasks.  A row's salt comes from the number of its task, so a task that runs again puts it in the same place.
     """
-    if fits(small, rows):
+    small = small if is_cut(small) else cut(small)
+    if size_of(small)[1] <= (BROADCAST_BYTES if most_bytes is None else most_bytes):
         return big.join(F.broadcast(small), on, how)
-    left = big.withColumn("_salt", F.pmod(F.monotonically_increasing_id(), F.lit(salts)).cast("int"))
-    right = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    parts = shuffle_parts(big.sparkSession)
+    hot = hot_hashes(big, on)
+    salts = max((math.ceil(s * parts) for s in hot.values()), default=1)
+    some_null = sum((F.col(c).isNull().cast("int") for c in on), F.lit(0)) > 0
+    is_hot = F.xxhash64(*on).isin(list(hot)) if hot else F.lit(False)
+    left = big.withColumn("_salt", F.when(some_null, -1 - F.spark_partition_id()).when(is_hot, F.pmod(F.spark_partition_id(), F.lit(salts))).otherwise(0))
+    right = small.withColumn("_salt", F.explode(F.when(is_hot, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))))
     return left.join(right, [*on, "_salt"], how).drop("_salt")
 
 
 def hot_keys(df: DataFrame, key: str, share: float) -> DataFrame:
     """``key`` and ``n_rows`` of the non-null keys that hold at least ``share`` of the rows of ``df``.
 
-    The counts are combined before the shuffle; at most ``1 / share`` keys come back.  An empty table and one
-    with null keys only have no hot key.
+    Told from a sample of about ``HOT_SAMPLE`` rows (all, of a smaller table), with ``n_rows`` scaled up; the counts are
+    combined before the shuffle and at most ``1 / share`` keys come back.  An empty table and one with null keys only have
+    no hot key.
     """
     spark = df.sparkSession
     total = df.count()
-    least = max(1, -(-total * int(share * 1_000_000) // 1_000_000))
-    found = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("n_rows")).where(F.col("n_rows") >= least)
     schema = T.StructType([df.schema[key], T.StructField("n_rows", T.LongType())])
-    return spark.createDataFrame(found.collect() if total else [], schema)
+    if not total:
+        return spark.createDataFrame([], schema)
+    part = min(1.0, HOT_SAMPLE / total)
+    some = df.select(key) if part == 1.0 else df.select(key).sample(part, seed=1)
+    found = some.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("n")).where(F.col("n") >= max(1, math.ceil(total * part * share)))
+    return spark.createDataFrame([(r[0], round(r[1] / part)) for r in found.collect()], schema)
 
 
 def _java(column: Column):
@@ -86,33 +150,63 @@ def _java(column: Column):
     return _to_java_column(column)
 
 
-def bloom_filter(df: DataFrame, key: Column, items: int, bits_per_item: int = 10, most_bits: int = BLOOM_BITS) -> Column:
-    """A Bloom filter over the non-null values of ``key`` as a scalar subquery, made in parts on the executors.
-
-    Its size is ``min(items * bits_per_item, most_bits)``; beyond ``most_bits`` it gives more false positives, never a
-    false negative.  As a subquery it is computed once for a query and never printed in plans.
-    """
+def _bloom(hashed: Column, keys: int) -> Column:
+    """The aggregate that puts hashes into a filter made for ``keys`` of them."""
+    from pyspark.sql import SparkSession
     from pyspark.sql.classic.column import Column as ClassicColumn
     from pyspark.sql.classic.column import _to_java_column, _to_seq
 
-    spark = df.sparkSession
-    n, bits = max(items, 1), min(max(items * bits_per_item, 1024), most_bits)
-    args = [F.xxhash64(key), F.lit(n).cast("long"), F.lit(bits).cast("long")]
-    made = ClassicColumn(spark._jvm.PythonSQLUtils.internalFn("bloom_filter_agg", _to_seq(spark.sparkContext, args, _to_java_column)))
-    return df.where(key.isNotNull()).agg(made.alias("bits")).scalar()
+    spark = SparkSession.active()
+    n = max(keys, 1)
+    args = [hashed, F.lit(n).cast("long"), F.lit(max(n * BLOOM_BITS, 1024)).cast("long")]
+    return ClassicColumn(spark._jvm.PythonSQLUtils.internalFn("bloom_filter_agg", _to_seq(spark.sparkContext, args, _to_java_column)))
 
 
-def might_contain(spark: SparkSession, bloom: Column, key: Column) -> Column:
-    """False where a ``bloom_filter`` proves that ``key`` was not put in, as for any key of an empty table; stays inside
-    generated code."""
+def _might_contain(spark: SparkSession, bloom: Column, hashed: Column) -> Column:
+    """False where a filter proves that a hash was not put in, as for a missing filter; stays inside generated code."""
     from pyspark.sql.classic.column import Column as ClassicColumn
 
     jvm = spark._jvm
     to = jvm.org.apache.spark.sql.classic.ExpressionUtils
-    test = jvm.org.apache.spark.sql.catalyst.expressions.BloomFilterMightContain(to.expression(_java(bloom)), to.expression(_java(F.xxhash64(key))))
+    test = jvm.org.apache.spark.sql.catalyst.expressions.BloomFilterMightContain(to.expression(_java(bloom)), to.expression(_java(hashed)))
     return F.coalesce(ClassicColumn(to.column(test)), F.lit(False))
 
 
+def bloom_passes(df: DataFrame, key: Column, keys: int, probe: Column, piece_keys: int = PIECE_KEYS, pass_pieces: int = PASS_PIECES) -> list[tuple[Column, Column]]:
+    """A Bloom filter over the non-null values of ``key``, of ``BLOOM_BITS`` bits for each of ``keys`` rows, for any number.
+
+    The filter is made in pieces by the hash of the key, on the executors, and broadcast as scalar subqueries, which no plan
+    text holds.  Each pass has the pieces that fit its bound.  The result has a pair for each pass: which probing rows
+    belong to it, and whether their key may be among the keys.  False proves that it is not.
+    """
+    spark = df.sparkSession
+    pieces = max(1, -(-keys // piece_keys))
+    some, hashed = df.where(key.isNotNull()), F.xxhash64(probe)
+    if pieces == 1:
+        bits = some.agg(_bloom(F.xxhash64(key), keys).alias("bits")).scalar()
+        return [(F.lit(True), _might_contain(spark, bits, hashed))]
+    folder = scratch(spark)
+    rows = some.select(F.xxhash64(key).alias("h")).withColumn("piece", F.pmod("h", F.lit(pieces)).cast("int"))
+    # the shuffle moves 12 bytes a key; each filter is then filled in one place, so no half-filled filters travel
+    rows.repartition(pieces, "piece").groupBy("piece").agg(_bloom(F.col("h"), piece_keys).alias("bits")).write.partitionBy("piece").parquet(folder)
+    kept = spark.read.schema("bits binary, piece int").parquet(folder)
+    piece, out = F.pmod(hashed, F.lit(pieces)), []
+    for first in range(0, pieces, pass_pieces):
+        last = min(first + pass_pieces, pieces) - 1
+        may = F.lit(False)
+        for k in range(first, last + 1):
+            may = F.when(piece == k, _might_contain(spark, kept.where(F.col("piece") == k).agg(F.first("bits")).scalar(), hashed)).otherwise(may)
+        out.append((piece.between(first, last), may))
+    return out
+
+
+def with_may(df: DataFrame, passes: list[tuple[Column, Column]], name: str = "_may") -> DataFrame:
+    """Rows with the verdict of ``bloom_passes``: one scan for each pass; rows whose key is null are left out beyond one pass."""
+    from functools import reduce
+
+    return reduce(DataFrame.unionByName, [(df if len(passes) == 1 else df.where(own)).withColumn(name, may) for own, may in passes])
+
+
 def common_type(a: T.DataType, b: T.DataType) -> T.DataType:
     """The type in which values of both types compare by value."""
     if a == b:
@@ -158,15 +252,16 @@ def running_sum(df: DataFrame, group: list[str], range_column: str, order: list[
     return running_sums(df, group, range_column, order, {out: value})
 
 
-def order_ranges(df: DataFrame, number: str, rows_per_range: int = 100_000, nulls_first: bool = False) -> Column:
-    """A small whole number for each row that grows with the double column ``number``; about equal ranges.
+def in_ranges(df: DataFrame, order: list[Column | str], rows_per_range: int = 100_000) -> DataFrame:
+    """The rows with ``_range``, a whole number that does not fall along ``order``, and ``_tie``, which breaks ties.
 
-    Edges are approximate quantiles over all rows, one for ``rows_per_range`` rows and ``MOST_RANGES`` at most.
+    Spark's range partitioning makes the ranges, one for ``rows_per_range`` rows however many that makes.  Rows that are
+    equal in ``order`` are split by ``_tie``, their place in ``df``, so a value that holds most rows has many ranges.
+    ``df`` is kept first, so that a place means the same row in each job, and the ranges are kept, so that they are drawn once.
     """
-    parts = min(parts_for(df.count(), rows_per_range, 1), MOST_RANGES)
-    edges = sorted(set(df.where(F.col(number).isNotNull()).approxQuantile(number, [k / parts for k in range(1, parts)], 0.001))) if parts > 1 else []
-    if len(edges) > 200:
-        inside = F.aggregate(F.array(*map(F.lit, edges)), F.lit(0), lambda n, e: n + F.when(F.col(number) >= e, 1).otherwise(0))
-    else:
-        inside = sum((F.when(F.col(number) >= F.lit(e), 1).otherwise(0) for e in edges), F.lit(0))
-    return F.when(F.col(number).isNull(), F.lit(-1 if nulls_first else len(edges) + 1)).otherwise(inside)
+    rows = df if is_cut(df) else cut(df)
+    parts = parts_for(rows.count(), rows_per_range, 1)
+    rows = rows.withColumn("_tie", F.monotonically_increasing_id())
+    if parts == 1:
+        return rows.withColumn("_range", F.lit(0))
+    return cut(rows.repartitionByRange(parts, *order, "_tie").withColumn("_range", F.spark_partition_id()))
