@@ -61,7 +61,20 @@ class BpeVocabulary:
             np.array([ids[a] for a, _ in pairs], np.int32),
             np.array([ids[b] for _, b in pairs], np.int32),
             np.array([ids[a + b] for a, b in pairs], np.int32),
-        )
+        ).checked()
+
+    def checked(self) -> BpeVocabulary:
+        """This vocabulary, if the pairs that a merge makes can only have higher ranks than the merge, as the sweep needs.
+
+        A pair has what a merge has made only if it is looked up after it, so no part of a merge may be made by a later one,
+        and no pair or result may occur twice."""
+        made_at = {int(c): rank for rank, c in enumerate(self.made)}
+        if len(made_at) != len(self.made) or len(self.ranks()) != len(self.made):
+            raise ValueError("a merge stands twice in the vocabulary")
+        for rank, (a, b) in enumerate(zip(self.left.tolist(), self.right.tolist())):
+            if max(made_at.get(a, -1), made_at.get(b, -1)) >= rank:
+                raise ValueError(f"merge {rank} needs the result of a later one")
+        return self
 
     def ranks(self) -> dict[int, int]:
         """Rank by ``left << 32 | right``; built once in each process."""

@@ -19,7 +19,7 @@ from hashlib import blake2b
 import ahocorasick
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..scale import cut
@@ -59,24 +59,35 @@ class UnionFind:
         return [sorted(v) for _, v in sorted(out.items()) if len(v) > 1]
 
 
+def _script(c: str) -> str:
+    return unicodedata.name(c, "").partition(" ")[0]
+
+
 def letters_alike(spark: SparkSession) -> list[tuple[str, str]]:
-    """Letters of other scripts and the Latin letter that each looks like, of the same case.
+    """Letters of different scripts that look alike, of the same case, as pairs with the one that stands for them.
 
-    Two letters look alike if ICU gives them the same skeleton.  A skeleton stands for several Latin signs at times
-    (``l`` for l, I, 1 and |), so the Latin letter is chosen by case; digits and signs are left out.
+    Letters look alike if ICU gives them the same skeleton.  The Latin letter stands for the others, where there is one, else the
+    one with the smallest code point.  A skeleton stands for several Latin signs at times (``l`` for l, I, 1 and |), so letters
+    are told apart by case; letters of a script without case join the case that the skeleton itself has.  Digits and signs are
+    left out, as are letters that compatibility forms or raised letters are made of.
     """
     checker = spark._jvm.com.ibm.icu.text.SpoofChecker.Builder().build()
     latin = [chr(c) for c in (*range(65, 91), *range(97, 123))]
     others = [
-        c for c in map(chr, (*range(0x370, 0x1D00), *range(0x1E00, 0x3000), *range(0xA000, 0xAC00), *range(0x10000, 0x11000)))
-        if unicodedata.category(c) in ("Lu", "Ll") and not unicodedata.name(c, "LATIN").startswith("LATIN") and unicodedata.normalize("NFD", c) == c
+        c for c in map(chr, (*range(0x370, 0x1D00), *range(0x1E00, 0xAC00), *range(0x10000, 0x12000), *range(0x16800, 0x17000), *range(0x1E900, 0x1E960)))
+        if unicodedata.category(c) in ("Lu", "Ll", "Lo") and _script(c) not in ("", "LATIN") and unicodedata.normalize("NFKD", c) == c
     ]
-    skeletons = checker.getSkeleton("\n".join([*latin, *others])).split("\n")
-    alike: dict[tuple[str, bool], str] = {}
-    for c, s in zip(latin, skeletons):
-        alike.setdefault((s, c.isupper()), c)
-    pairs = ((c, alike.get((s, c.isupper()))) for c, s in zip(others, skeletons[len(latin) :]))
-    return [(c, x) for c, x in pairs if x]
+    skeleton = dict(zip([*latin, *others], checker.getSkeleton("\n".join([*latin, *others])).split("\n")))
+    groups: dict[tuple[str, bool], list[str]] = {}
+    for c in [*latin, *others]:
+        if unicodedata.category(c) != "Lo":
+            groups.setdefault((skeleton[c], c.isupper()), []).append(c)
+    for c in others:
+        if unicodedata.category(c) == "Lo":
+            s = skeleton[c]
+            known = [(s, upper) for upper in (s.isupper(), not s.isupper()) if (s, upper) in groups]
+            groups.setdefault(known[0] if known else (s, False), []).append(c)
+    return [(c, group[0]) for group in groups.values() for c in group[1:] if _script(c) != _script(group[0])]
 
 
 def _width(c: str) -> str | None:
@@ -294,18 +305,35 @@ def form_hashes(df: DataFrame, rules: dict[str, str], id_column: str = "doc_id",
     return rows.mapInArrow(run, f"_id {df.schema[id_column].dataType.simpleString()}, form binary, own binary").withColumnRenamed("_id", id_column)
 
 
-def alike_pairs(hashes: DataFrame, id_column: str = "doc_id", salts: int = 8) -> DataFrame:
+def _chunks(count: Column, size: int) -> Column:
+    return F.ceil(count / F.lit(size)).cast("int")
+
+
+def alike_pairs(hashes: DataFrame, id_column: str = "doc_id", chunk: int = 1_000) -> DataFrame:
     """``doc_id_a``, ``doc_id_b``: all pairs of different texts with the same form, the smaller id first.
 
-    Only forms with two different texts or more are joined; a form with many copies is spread over ``salts`` tasks.
+    Different texts are paired first, so copies of one text are never held against each other; then each side gets its
+    documents.  The texts of a form, and the documents of a text, are cut into chunks by their counts, and a task's share of
+    the pairs is a pair of chunks, however many a form or a text has.
     """
     hashes = cut(hashes.select(F.col(id_column).alias("_id"), "form", "own").where(F.col("_id").isNotNull()).distinct())
     several = hashes.groupBy("form").agg(F.min("own").alias("_lo"), F.max("own").alias("_hi")).where(F.col("_lo") != F.col("_hi")).select("form")
-    rows = hashes.join(several, "form", "left_semi")
-    a = rows.select(F.col("_id").alias("doc_id_a"), "form", F.col("own").alias("_a"), F.pmod(F.xxhash64("_id"), F.lit(salts)).cast("int").alias("_salt"))
-    b = rows.select(F.col("_id").alias("doc_id_b"), "form", F.col("own").alias("_b"), F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("_salt"))
-    pairs = a.join(b, ["form", "_salt"]).where((F.col("_a") != F.col("_b")) & (F.col("doc_id_a") < F.col("doc_id_b")))
-    return pairs.select("doc_id_a", "doc_id_b").distinct()
+    rows = cut(hashes.join(several, "form", "left_semi"))
+    texts = rows.groupBy("form", "own").agg(F.count("*").alias("n"))
+    texts = cut(texts.join(texts.groupBy("form").agg(_chunks(F.count("*"), chunk).alias("_k")), "form"))
+    every = F.explode(F.sequence(F.lit(0), F.col("_k") - 1))
+    place = F.pmod(F.xxhash64("own"), F.col("_k")).cast("int")
+    a = texts.select("form", F.col("own").alias("own_a"), F.col("n").alias("_na"), place.alias("_i"), every.alias("_j"))
+    b = texts.select("form", F.col("own").alias("own_b"), F.col("n").alias("_nb"), place.alias("_j"), every.alias("_i"))
+    pairs = a.join(b, ["form", "_i", "_j"]).where(F.col("own_a") < F.col("own_b"))
+    pairs = pairs.select("own_a", "own_b", F.explode(F.sequence(F.lit(0), _chunks(F.col("_na"), chunk) - 1)).alias("_ca"), "_nb")
+    pairs = pairs.select("own_a", "own_b", "_ca", F.explode(F.sequence(F.lit(0), _chunks(F.col("_nb"), chunk) - 1)).alias("_cb"))
+    documents = rows.join(texts.select("own", "n"), "own").select("_id", "own", F.pmod(F.xxhash64("_id"), _chunks(F.col("n"), chunk)).cast("int").alias("_c"))
+    for side in ("a", "b"):
+        own = documents.select(F.col("_id").alias(f"_id_{side}"), F.col("own").alias(f"own_{side}"), F.col("_c").alias(f"_c{side}"))
+        pairs = pairs.join(own, [f"own_{side}", f"_c{side}"])
+    out = pairs.where(F.col("_id_a") != F.col("_id_b"))
+    return out.select(F.least("_id_a", "_id_b").alias("doc_id_a"), F.greatest("_id_a", "_id_b").alias("doc_id_b")).distinct()
 
 
 def form_classes(hashes: DataFrame, id_column: str = "doc_id") -> DataFrame:

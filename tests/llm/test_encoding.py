@@ -94,3 +94,13 @@ def test_an_empty_vocabulary_gives_bytes():
     none = np.zeros(0, np.int32)
     ids, starts = PairIndexEncoder(BpeVocabulary(np.arange(256, dtype=np.int32), none, none, none)).encode([b"ab", b""])
     assert ids.tolist() == [97, 98] and starts.tolist() == [0, 2, 2]
+
+
+def test_merges_out_of_order_are_refused():
+    import numpy as np
+
+    ids = lambda *x: np.array(x, np.int32)
+    assert BpeVocabulary(np.arange(256, dtype=np.int32), ids(1, 256), ids(2, 3), ids(256, 257)).checked()
+    for left, right, made in ((ids(256, 1), ids(3, 2), ids(257, 256)), (ids(1, 1), ids(2, 2), ids(256, 257)), (ids(1, 2), ids(2, 3), ids(256, 256))):
+        with pytest.raises(ValueError, match="merge"):
+            BpeVocabulary(np.arange(256, dtype=np.int32), left, right, made).checked()

@@ -69,6 +69,17 @@ def test_many_copies_and_repeated_rows(spark):
     assert pairs_of(spark, rows) == {(k, 500) for k in range(200)}
 
 
+@pytest.mark.parametrize("chunk", [2, 1_000])
+def test_pairs_in_chunks(spark, chunk):
+    texts = ["a b c d", "a\xa0b c d", "a b\xa0c d", "a b c\xa0d", "a\xa0b\xa0c d", "x y", "x\xa0y", "alone", "alone"]
+    rows = [(k, texts[0 if k % 3 == 0 else k % len(texts)]) for k in range(90)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = [tuple(r) for r in lookalike.alike_pairs(lookalike.form_hashes(df, lookalike.corpus_rules(df)), chunk=chunk).collect()]
+    plain = lambda t: t.replace("\xa0", " ")
+    want = {(i, j) for i, a in rows for j, b in rows if i < j and a != b and plain(a) == plain(b)}
+    assert len(got) == len(set(got)) and set(got) == want
+
+
 def test_empty_table_and_null_ids(spark):
     assert pairs_of(spark, []) == set()
     assert pairs_of(spark, [(None, "ab"), (1, "a​b")]) == set()

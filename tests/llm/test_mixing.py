@@ -61,7 +61,7 @@ def test_ranges_do_not_change_the_choice(spark, monkeypatch):
 def test_one_source_with_a_third_of_the_rows_and_joins_beyond_broadcast(spark, monkeypatch):
     from tessel import scale
 
-    monkeypatch.setattr(scale.sized_join, "__defaults__", ("inner", 0, 3))
+    monkeypatch.setattr(scale, "BROADCAST_BYTES", 0)
     assert run(spark, MANY, GOALS) == brute(spark, MANY, GOALS)
 
 
