@@ -20,8 +20,9 @@ from ..scale import HOT_SHARE, bloom_passes, common_type, cut, hot_keys, parts_f
 CHUNK_KEYS = 16
 #: Keys in the window of the rolling hash.
 ROLL_KEYS = 3
-#: Rows of a bucket, about.
+#: Rows of a task, about, and buckets of a task, so many that tasks are even.
 BUCKET_ROWS = 200_000
+BUCKETS = 64
 
 
 def row_key(parts: list[Column]) -> Column:
@@ -46,7 +47,7 @@ def _light(rows: DataFrame, side: int) -> DataFrame:
     return rows.select(F.lit(side).alias("_side"), "_h", F.xxhash64(*tagged).alias("_h1"), F.xxhash64(F.lit("second"), *reversed(tagged)).alias("_h2"))
 
 
-def chunked(sides: list[DataFrame], buckets: int, hot: list[int] = []) -> DataFrame:  # noqa: B006
+def chunked(sides: list[DataFrame], tasks: int, hot: list[int] = []) -> DataFrame:  # noqa: B006
     """``_b``, ``_side``, ``_h``, ``_h1``, ``_h2`` and ``_c``: the different rows of both copies with their bucket and chunk.
 
     Rows of the ``hot`` key hashes are reduced to different ones before they move, and spread over all buckets by their
@@ -57,7 +58,7 @@ def chunked(sides: list[DataFrame], buckets: int, hot: list[int] = []) -> DataFr
     if hot:
         rows = rows.where(~is_hot).unionByName(rows.where(is_hot).distinct())
     place = F.when(is_hot, F.col("_h1")).otherwise(F.col("_h"))
-    rows = rows.withColumn("_p", place).withColumn("_b", F.pmod(F.shiftrightunsigned("_p", 20), F.lit(buckets)).cast("int")).repartition(buckets, "_b")
+    rows = rows.withColumn("_p", place).withColumn("_b", F.pmod(F.shiftrightunsigned("_p", 20), F.lit(BUCKETS * tasks)).cast("int")).repartition(tasks, "_b")
     order = Window.partitionBy("_b", "_side").orderBy("_p", "_h", "_h1", "_h2")
     row = F.struct("_h", "_h1", "_h2")
     rows = rows.withColumn("_new", F.coalesce(F.lag(row).over(order) != row, F.lit(True))).where("_new")
@@ -74,10 +75,10 @@ def prints(rows: DataFrame) -> DataFrame:
     )
 
 
-def differing(sides: list[DataFrame], buckets: int, hot: list[int] = []) -> DataFrame:  # noqa: B006
+def differing(sides: list[DataFrame], tasks: int, hot: list[int] = []) -> DataFrame:  # noqa: B006
     """``_h`` of the keys that are not proved to have the same different rows on both sides; the copies meet in the buckets of one shuffle."""
     same = Window.partitionBy("_b", "_p1", "_p2", "_n")
-    chunks = prints(chunked(sides, buckets, hot)).withColumns({"_lo": F.min("_side").over(same), "_hi": F.max("_side").over(same)})
+    chunks = prints(chunked(sides, tasks, hot)).withColumns({"_lo": F.min("_side").over(same), "_hi": F.max("_side").over(same)})
     # the anti-join of fingerprints: chunks that stand on one side only
     rows = chunks.where(F.col("_lo") == F.col("_hi")).select("_b", "_side", F.explode("_rows").alias("_r")).select("_b", "_side", "_r.*")
     # a row that stands in unmatched chunks of both sides is no difference
