@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -9,6 +11,9 @@ from pyspark.sql import types as T
 
 from .contracts import struct_type
 from .contracts.validate import ContractViolation, Validator
+from .publish.completed import download_to_temp
+from .publish.store import HadoopStore, ObjectStore
+from .scale import shared_path
 from .sources.delta import read_delta
 from .sources.ipc import read_ipc
 from .sources.memory import memory_table
@@ -63,6 +68,16 @@ def register_object(spark: SparkSession, name: str, uri: str, settings: dict[str
     return df
 
 
+def register_from_store(spark: SparkSession, name: str, store: ObjectStore, key: str) -> DataFrame:
+    """Parquet under a key of a given store: read in place where Spark knows the store, else from a copy of one identity of the
+    object in the session's shared folder."""
+    if isinstance(store, HadoopStore):
+        return register_object(spark, name, f"{store.root}/{key}")
+    dest = os.path.join(shared_path(spark), "object.parquet")
+    download_to_temp(store, key, dest)
+    return register_object(spark, name, f"file://{dest}")
+
+
 KINDS = {"parquet": register_parquet, "csv": register_csv, "delta": register_delta, "ipc": register_ipc}
 
 

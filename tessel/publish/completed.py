@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+from concurrent.futures import FIRST_COMPLETED, ThreadPoolExecutor, wait
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -12,6 +13,8 @@ from .manifest import CompletionManifest, decode_manifest, manifest_key
 from .store import ObjectMeta, ObjectStore
 
 CHUNK_BYTES = 8 << 20
+#: Parts of an upload that are held at a time.
+PARTS_IN_FLIGHT = 2
 
 
 def _download(store: ObjectStore, key: str, dest: str, meta: ObjectMeta) -> ObjectMeta:
@@ -39,9 +42,44 @@ def download_to_temp(store: ObjectStore, key: str, dest: str) -> ObjectMeta:
     return _download(store, key, dest, meta)
 
 
-def upload_from_temp(store: ObjectStore, source: str, key: str) -> None:
-    """Copies a local file to the store; the store reads it in parts."""
-    store.put_file(source, key)
+def upload_from_temp(store: ObjectStore, source: str, key: str, part_bytes: int = CHUNK_BYTES, in_flight: int = PARTS_IN_FLIGHT) -> None:
+    """Copies a local file to the store: one of at most ``part_bytes`` at once, a larger one in parts.
+
+    At most ``in_flight`` parts are held at a time.  A part that fails stops the others and aborts the upload, so that no
+    part stays behind; a failing abort is noted on the first error.
+    """
+    if os.path.getsize(source) <= part_bytes:
+        store.put_file(source, key)
+        return
+    upload = store.begin(key)
+    try:
+        with open(source, "rb") as f, ThreadPoolExecutor(in_flight) as pool:
+            running, number = set(), 0
+            while data := f.read(part_bytes):
+                running.add(pool.submit(upload.put_part, number, data))
+                number += 1
+                if len(running) == in_flight:
+                    done, running = wait(running, return_when=FIRST_COMPLETED)
+                    for part in done:
+                        part.result()
+            for part in running:
+                part.result()
+        upload.complete()
+    except BaseException as e:
+        try:
+            upload.abort()
+        except Exception as again:
+            e.add_note(f"and the upload could not be aborted: {again}")
+        raise
+
+
+def try_delete(store: ObjectStore, key: str) -> Exception | None:
+    """Deletes an object if that can be done; what went wrong is returned, not raised."""
+    try:
+        store.delete(key)
+    except Exception as e:
+        return e
+    return None
 
 
 def completed_manifest(store: ObjectStore, output_key: str) -> tuple[CompletionManifest, ObjectMeta]:

@@ -9,6 +9,7 @@ class PipelineIoError(RuntimeError):
     """Any failure of reading, writing or publishing; the cause is kept."""
 
 
+#: The names of phases and outcomes, which callers tell failures by.
 class PublicationPhase(Enum):
     UPLOAD = "Upload"
     INVALIDATE_COMPLETION = "InvalidateCompletion"

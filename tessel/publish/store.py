@@ -25,6 +25,20 @@ class ObjectMeta:
         return any(x and x.strip() for x in (self.e_tag, self.version))
 
 
+class Upload(ABC):
+    """An upload in parts, which may come in any order and from several threads."""
+
+    @abstractmethod
+    def put_part(self, number: int, data: bytes) -> None: ...
+
+    @abstractmethod
+    def complete(self) -> None: ...
+
+    @abstractmethod
+    def abort(self) -> None:
+        """Gives the parts up; the object stays as it was."""
+
+
 class ObjectStore(ABC):
     """Keys are relative paths.  ``delete`` of what is not there succeeds."""
 
@@ -41,6 +55,14 @@ class ObjectStore(ABC):
     @abstractmethod
     def put(self, key: str, data: bytes) -> None: ...
 
+    @abstractmethod
+    def begin(self, key: str) -> Upload:
+        """An upload in parts; nothing is seen under ``key`` before it is completed."""
+
+    @abstractmethod
+    def move(self, source: str, target: str) -> None:
+        """Puts an object under another key by renaming; the plain way of publishing, without a record."""
+
     @abstractmethod
     def get(self, key: str) -> bytes: ...
 
@@ -51,6 +73,29 @@ class ObjectStore(ABC):
     def delete(self, key: str) -> None: ...
 
 
+class _LocalUpload(Upload):
+    """Parts as files beside the target; completing joins them."""
+
+    def __init__(self, store: LocalStore, key: str):
+        self.store, self.key, path = store, key, store.path(key)
+        path.parent.mkdir(parents=True, exist_ok=True)
+        self.folder = Path(tempfile.mkdtemp(dir=path.parent, prefix=".parts-"))
+
+    def put_part(self, number: int, data: bytes) -> None:
+        (self.folder / f"{number:08d}").write_bytes(data)
+
+    def complete(self) -> None:
+        def join(f) -> None:
+            for part in sorted(self.folder.iterdir()):
+                f.write(part.read_bytes())
+
+        self.store._place(join, self.key)
+        self.abort()
+
+    def abort(self) -> None:
+        shutil.rmtree(self.folder, ignore_errors=True)
+
+
 class LocalStore(ObjectStore):
     """A folder; an object's ETag is the SHA-256 of its bytes.  Every write appears at once, by rename."""
 
@@ -105,6 +150,13 @@ class LocalStore(ObjectStore):
     def put(self, key: str, data: bytes) -> None:
         self._place(lambda f: f.write(data), key)
 
+    def begin(self, key: str) -> Upload:
+        return _LocalUpload(self, key)
+
+    def move(self, source: str, target: str) -> None:
+        self.path(target).parent.mkdir(parents=True, exist_ok=True)
+        os.replace(self.path(source), self.path(target))
+
     def get(self, key: str) -> bytes:
         return self.path(key).read_bytes()
 
@@ -115,6 +167,25 @@ class LocalStore(ObjectStore):
         self.path(key).unlink(missing_ok=True)
 
 
+class _HadoopUpload(Upload):
+    """The multipart upload that Hadoop's file systems offer; on S3 it is the store's own."""
+
+    def __init__(self, store: HadoopStore, key: str):
+        self.store, self.path = store, store._path(key)
+        self.uploader = store.fs.createMultipartUploader(self.path.getParent()).build()
+        self.upload, self.parts = self.uploader.startUpload(self.path).get(), store.jvm.java.util.concurrent.ConcurrentHashMap()
+
+    def put_part(self, number: int, data: bytes) -> None:
+        stream = self.store.jvm.java.io.ByteArrayInputStream(data)
+        self.parts.put(number + 1, self.uploader.putPart(self.upload, number + 1, self.path, stream, len(data)).get())
+
+    def complete(self) -> None:
+        self.uploader.complete(self.upload, self.path, self.parts).get()
+
+    def abort(self) -> None:
+        self.uploader.abort(self.upload, self.path).get()
+
+
 class HadoopStore(ObjectStore):
     """A folder on any file system the session's Hadoop knows (``s3a://``, ``hdfs://``, ``file://``), through the JVM.
 
@@ -150,10 +221,20 @@ class HadoopStore(ObjectStore):
         self.fs.copyFromLocalFile(False, True, self.jvm.org.apache.hadoop.fs.Path(f"file://{os.path.abspath(path)}"), self._path(key))
 
     def put(self, key: str, data: bytes) -> None:
-        with tempfile.NamedTemporaryFile() as f:
-            f.write(data)
-            f.flush()
-            self.put_file(f.name, key)
+        out = self.fs.create(self._path(key), True)
+        try:
+            out.write(data)
+        finally:
+            out.close()
+
+    def begin(self, key: str) -> Upload:
+        return _HadoopUpload(self, key)
+
+    def move(self, source: str, target: str) -> None:
+        self.delete(target)
+        self.fs.mkdirs(self._path(target).getParent())
+        if not self.fs.rename(self._path(source), self._path(target)):
+            raise OSError(f"renaming {source} to {target} failed")
 
     def get(self, key: str) -> bytes:
         return self.get_range(key, 0, self.head(key).size, None)[0]

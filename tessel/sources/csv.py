@@ -10,8 +10,10 @@ from __future__ import annotations
 import csv
 import io
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from itertools import islice
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -31,12 +33,37 @@ class CsvError(ValueError):
         super().__init__(f"{path}: {reason}" + (f" in row {row}" if row is not None else ""))
 
 
+def records_span_lines(spark: SparkSession, path: str) -> bool:
+    """Whether some quoted field holds a line break: a line then has an odd number of quotes."""
+    line = F.col("value")
+    odd = (F.length(line) - F.length(F.replace(line, F.lit('"')))) % 2 == 1
+    return bool(spark.read.text(path).where(odd).limit(1).count())
+
+
 def _texts(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
+    """The columns as texts.  Files are split among tasks unless a record spans lines; then a file is one task."""
     schema = T.StructType([T.StructField(c, T.StringType()) for c in columns])
-    reader = spark.read.schema(schema).option("header", True).option("multiLine", True).option("mode", "FAILFAST").option("escape", '"').option("enforceSchema", True)
+    whole = records_span_lines(spark, path)
+    reader = spark.read.schema(schema).option("header", True).option("multiLine", whole).option("mode", "FAILFAST").option("escape", '"').option("enforceSchema", True)
     return reader.option("emptyValue", "").option("nullValue", "\x00null").csv(path)
 
 
+def read_csv_rows(spark: SparkSession, path: str, columns: list[str], parse_row: Callable[[dict[str, str | None]], tuple], schema: str) -> DataFrame:
+    """Each record through ``parse_row``, which takes its texts by column and gives the values of ``schema``; what it raises fails the
+    read.  A call for each row, in Arrow batches: for formats that expressions cannot parse."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    texts = _texts(spark, path, columns)
+    arrow = to_arrow_schema(T.StructType.fromDDL(schema))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [parse_row(r) for r in batch.to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(arrow)], schema=arrow)
+
+    return texts.mapInArrow(run, schema)
+
+
 def _parsed(text: Column, pattern: str, kind: str, name: str) -> Column:
     bad = F.raise_error(F.concat(F.lit(f"bad {name}: "), F.coalesce(text, F.lit("null")))).cast(kind)
     value = text.try_cast(kind)
@@ -104,6 +131,56 @@ def checked(df: DataFrame, path: str, columns: int) -> DataFrame:
     return df
 
 
+INGEST_ARROW = pa.schema([pa.field("id", pa.int64(), False), pa.field("name", pa.string(), False), pa.field("note", pa.string())])
+
+
+def ingest_batches(path: str, size: int, direct: bool = True) -> Iterator[pa.RecordBatch]:
+    """The ingest records of a local file as Arrow batches of ``size`` rows, filled column by column, or by way of rows.
+
+    Both ways give the same values, nulls and errors; a consumer may stop at any batch, and an error comes after the
+    batches before it.
+    """
+    if size <= 0:
+        raise ValueError("a batch needs at least one row")
+
+    def records() -> Iterator[tuple[int, str, str | None]]:
+        with open(path, encoding="utf-8", newline="") as f:
+            reader = csv.reader(f, strict=True)
+            next(reader, None)
+            try:
+                for k, record in enumerate(reader):
+                    if len(record) != 3 or not re.fullmatch(r"[+-]?[0-9]+", record[0], re.ASCII):
+                        raise CsvError(path, "no ingest record", k)
+                    yield int(record[0]), record[1], record[2] or None
+            except csv.Error as e:
+                raise CsvError(path, str(e)) from e
+
+    source = records()
+    while True:
+        if direct:
+            columns, failure = ([], [], []), None
+            try:
+                for record in islice(source, size):
+                    for column, value in zip(columns, record):
+                        column.append(value)
+            except CsvError as e:
+                failure = e
+        else:
+            rows, failure = [], None
+            try:
+                for record in islice(source, size):
+                    rows.append(record)
+            except CsvError as e:
+                failure = e
+            columns = tuple([r[k] for r in rows] for k in range(3))
+        if columns[0]:
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, INGEST_ARROW)], schema=INGEST_ARROW)
+        if failure:
+            raise failure
+        if len(columns[0]) < size:
+            return
+
+
 def select_column(path: str, column: int, headers: bool = True) -> Iterator[str]:
     """The lines of one column of a local file as CSV, the header line too unless there is none.
 

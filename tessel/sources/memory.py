@@ -65,7 +65,8 @@ class MemorySource(DataSource):
 
 
 def register_sources(spark: SparkSession) -> None:
+    from .counted import CountedStream
     from .ipc import ArrowIpcSource
 
-    for source in (MemorySource, ArrowIpcSource):
+    for source in (MemorySource, ArrowIpcSource, CountedStream):
         spark.dataSource.register(source)

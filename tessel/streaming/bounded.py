@@ -67,7 +67,9 @@ def run_bounded(
     """
     cancel = cancel or CancellationToken()
     cancel.check()
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(config.batch_rows))
+    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, str(config.batch_rows))
     df, counters = ingest_csv(spark, source), None
     if transform:
         df, counters = budgeted(df, transform, INGEST, config.byte_budget)
@@ -89,6 +91,8 @@ def run_bounded(
         if "MALFORMED" in str(e) or "bad id" in str(e):
             raise CsvError(source, str(e).splitlines()[0]) from e
         raise
+    finally:
+        spark.conf.set(setting, before)
     got = seen.get
     if counters is None:
         return BoundedReport(got["rows"], got["digest"])
