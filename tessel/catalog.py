@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from .operators import catalogue, passthrough, roundtrips
+from .operators import catalogue, interfaces, passthrough, roundtrips
 from .quality import queries as quality
 
-QUERIES = {**catalogue.QUERIES, **passthrough.QUERIES, **roundtrips.QUERIES, **quality.QUERIES}
-ORACLES = {**catalogue.ORACLES, **passthrough.ORACLES, **roundtrips.ORACLES, **quality.ORACLES}
+QUERIES = {**catalogue.QUERIES, **passthrough.QUERIES, **roundtrips.QUERIES, **interfaces.QUERIES, **quality.QUERIES}
+ORACLES = {**catalogue.ORACLES, **passthrough.ORACLES, **roundtrips.ORACLES, **interfaces.ORACLES, **quality.ORACLES}

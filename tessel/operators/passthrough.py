@@ -5,9 +5,12 @@ The texts are standard SQL; where dialects differ, ``other`` has the text for an
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..scale import cut, scratch
 from ..streaming.events import event_windows
 from ..tables import table, views
 from .catalogue import Query
@@ -42,6 +45,41 @@ def _ranges(spark, d):
     return range_join(o, bands, "price", "low", "high", 10000.0).groupBy("band").agg(F.count("*").alias("n_orders"))
 
 
+def _created_view(spark, d):
+    """A view over Parquet made by SQL, and a query of it."""
+    spark.sql(f"CREATE OR REPLACE TEMPORARY VIEW created_orders USING parquet OPTIONS (path '{d}/shop_orders.parquet')")
+    return spark.sql("SELECT count(*) AS order_count, CAST(sum(amount) AS DECIMAL(20,2)) AS total_amount FROM created_orders WHERE amount > 50.00")
+
+
+def _created_table(spark, d):
+    """CREATE TABLE AS, then INSERT, both by SQL; the table lies in the session's shared folder."""
+    views(spark, d, "nation")
+    name = f"tessel_{uuid.uuid4().hex}"
+    spark.sql(f"CREATE TABLE {name} USING parquet LOCATION '{scratch(spark)}' AS SELECT n_nationkey, n_regionkey FROM nation")
+    try:
+        spark.sql(f"INSERT INTO {name} SELECT n_nationkey, n_regionkey FROM nation")
+        return cut(spark.sql(f"SELECT n_regionkey, count(*) AS n FROM {name} GROUP BY n_regionkey"))
+    finally:
+        spark.sql(f"DROP TABLE {name}")
+
+
+def _copied(spark, d):
+    """A table written out and read in again by SQL alone."""
+    views(spark, d, "customer")
+    path = scratch(spark)
+    spark.sql(f"INSERT OVERWRITE DIRECTORY '{path}' USING parquet SELECT c_custkey, c_mktsegment FROM customer")
+    return spark.sql(f"SELECT c_mktsegment, count(*) AS n FROM parquet.`{path}` GROUP BY c_mktsegment")
+
+
+def _explained(spark, d):
+    """What EXPLAIN tells of a query, beside its result."""
+    views(spark, d, "orders")
+    text = "SELECT count(*) AS n_rows FROM orders WHERE o_totalprice > 1000"
+    plan = spark.sql(f"EXPLAIN FORMATTED {text}").first()[0]
+    told = "ReadSchema: struct<o_totalprice:double>" in plan, "GreaterThan(o_totalprice,1000" in plan
+    return spark.sql(text).select("*", F.lit(told[0]).alias("reads_one_column"), F.lit(told[1]).alias("pushes_filter"))
+
+
 TEXTS: dict[str, str] = {
     "sql_semi_join": "SELECT c_custkey FROM customer LEFT SEMI JOIN orders ON c_custkey = o_custkey",
     "sql_anti_join": "SELECT c_custkey FROM customer LEFT ANTI JOIN orders ON c_custkey = o_custkey",
@@ -71,6 +109,18 @@ TEXTS: dict[str, str] = {
     "sql_pricing_summary": "SELECT l_returnflag, l_linestatus, round(sum(l_quantity), 2) AS sum_qty, round(sum(l_extendedprice * (1 - l_discount)), 2) AS sum_disc, round(avg(l_extendedprice), 6) AS avg_price, count(*) AS n FROM lineitem GROUP BY l_returnflag, l_linestatus",
     "sql_string_functions": "SELECT c_custkey, upper(substring(c_name, 1, 8)) AS head, length(c_name) AS n, replace(c_mktsegment, 'A', '_') AS seg FROM customer",
     "sql_date_functions": "SELECT o_orderkey, CAST(EXTRACT(YEAR FROM o_orderdate) AS INT) AS y, CAST(EXTRACT(MONTH FROM o_orderdate) AS INT) AS m FROM orders",
+    "sql_values": "SELECT v.k, v.name, count(o_orderkey) AS n FROM (VALUES ('F', 'closed'), ('O', 'open'), ('X', 'none')) AS v(k, name) LEFT JOIN orders ON o_orderstatus = v.k GROUP BY v.k, v.name",
+    "sql_cross_join": "SELECT r_name, n_name FROM region CROSS JOIN nation WHERE n_nationkey < 5",
+    "sql_theta_join": "SELECT a.n_nationkey AS a, b.n_nationkey AS b FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey AND a.n_nationkey < b.n_nationkey",
+    "sql_intersect_all": "SELECT n_regionkey AS k FROM nation INTERSECT ALL SELECT c_nationkey AS k FROM customer",
+    "sql_percent_rank": "SELECT p_partkey, round(percent_rank() OVER (PARTITION BY p_brand ORDER BY p_size), 9) AS r FROM part",
+    "sql_cume_dist": "SELECT p_partkey, round(cume_dist() OVER (PARTITION BY p_brand ORDER BY p_size), 9) AS r FROM part",
+    "sql_nth_value": "SELECT o_orderkey, nth_value(o_orderkey, 2) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS second FROM orders",
+    "sql_math_functions": "SELECT p_partkey, abs(p_size - 25) AS a, CAST(floor(p_retailprice / 7) AS BIGINT) AS b, CAST(ceil(p_retailprice / 7) AS BIGINT) AS c, round(sqrt(p_retailprice), 6) AS d, p_size % 7 AS e, round(ln(p_retailprice), 6) AS f, greatest(p_size, 20) AS g, least(p_size, 20) AS h FROM part",
+    "sql_case_coalesce": "SELECT id, load_no, CASE WHEN amount IS NULL THEN 'none' WHEN amount > 100 THEN 'large' ELSE 'small' END AS size, coalesce(note, 'no note') AS note, nullif(load_no, 1) AS load_or_null FROM shop_orders",
+    "sql_null_safe_join": "SELECT count(*) AS n FROM (SELECT DISTINCT note FROM shop_orders) a JOIN (SELECT DISTINCT note FROM shop_orders) b ON a.note IS NOT DISTINCT FROM b.note",
+    "sql_correlated_max": "SELECT o_orderkey FROM orders o WHERE o_totalprice = (SELECT max(i.o_totalprice) FROM orders i WHERE i.o_custkey = o.o_custkey)",
+    "sql_statistics": "SELECT p_brand, round(stddev_samp(p_retailprice), 6) AS s, round(var_pop(p_retailprice), 4) AS v, round(corr(p_size, p_retailprice), 6) AS c FROM part GROUP BY p_brand",
     "sql_cross_group": "SELECT o_orderpriority, l_returnflag, count(*) AS n FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE l_shipdate > o_orderdate GROUP BY o_orderpriority, l_returnflag",
 }
 
@@ -83,9 +133,39 @@ SAMPLE: dict[str, Query] = {
     "sql_json": Query(
         run_sql("SELECT event_id, get_json_object(props, '$.k') AS k, CAST(length(props) AS BIGINT) AS n FROM events"), None, "SELECT event_id, json_extract_string(props, '$.k') AS k, CAST(length(props) AS BIGINT) AS n FROM events"
     ),
+    # an approximation is held against the exact value, so that both engines agree on whether it is near
     "sql_approx_percentile": Query(
+        run_sql(
+            "SELECT s.o_orderstatus, CAST(count(*) FILTER (WHERE o_totalprice <= p) AS DOUBLE) / count(*) BETWEEN 0.49 AND 0.51 AS near FROM orders o JOIN "
+            "(SELECT o_orderstatus, percentile_approx(o_totalprice, 0.5, 1000) AS p FROM orders GROUP BY o_orderstatus) s ON o.o_orderstatus = s.o_orderstatus GROUP BY s.o_orderstatus"
+        ), None, "SELECT o_orderstatus, true AS near FROM orders GROUP BY o_orderstatus",
+    ),
+    "sql_percentile": Query(
         run_sql("SELECT o_orderstatus, percentile(o_totalprice, 0.5) AS middle FROM orders GROUP BY o_orderstatus"), None, "SELECT o_orderstatus, quantile_cont(o_totalprice, 0.5) AS middle FROM orders GROUP BY o_orderstatus"
     ),
+    "sql_approx_distinct": Query(
+        run_sql("SELECT o_orderstatus, count(DISTINCT o_custkey) AS exact, abs(approx_count_distinct(o_custkey, 0.02) - count(DISTINCT o_custkey)) <= 0.1 * count(DISTINCT o_custkey) AS near FROM orders GROUP BY o_orderstatus"), None,
+        "SELECT o_orderstatus, count(DISTINCT o_custkey) AS exact, true AS near FROM orders GROUP BY o_orderstatus",
+    ),
+    "sql_regexp": Query(
+        run_sql(r"SELECT c_custkey, regexp_extract(c_name, '([0-9]+)$', 1) AS digits, regexp_replace(c_name, '[0-9]', '#') AS masked, c_name RLIKE '7$' AS ends FROM customer"), None,
+        "SELECT c_custkey, regexp_extract(c_name, '([0-9]+)$', 1) AS digits, regexp_replace(c_name, '[0-9]', '#', 'g') AS masked, regexp_matches(c_name, '7$') AS ends FROM customer",
+    ),
+    "sql_nested_types": Query(
+        run_sql("SELECT n_regionkey, size(collect_set(n_nationkey)) AS n, map('k', n_regionkey)['k'] AS k, named_struct('a', n_regionkey + 1).a AS a, element_at(sort_array(collect_list(n_name)), 1) AS first FROM nation GROUP BY n_regionkey"), None,
+        "SELECT n_regionkey, CAST(count(DISTINCT n_nationkey) AS INT) AS n, n_regionkey AS k, n_regionkey + 1 AS a, min(n_name) AS first FROM nation GROUP BY n_regionkey",
+    ),
+    "sql_explode": Query(
+        run_sql("SELECT n_nationkey, word FROM nation LATERAL VIEW explode(split(n_name, ' ')) t AS word"), None, "SELECT n_nationkey, unnest(string_split(n_name, ' ')) AS word FROM nation"
+    ),
+    "sql_pivot": Query(
+        run_sql("SELECT * FROM (SELECT l_linestatus, l_returnflag, l_quantity FROM lineitem) PIVOT (count(l_quantity) FOR l_returnflag IN ('A' AS a, 'N' AS n, 'R' AS r))"), None,
+        "SELECT l_linestatus, " + ", ".join(f"nullif(count(l_quantity) FILTER (WHERE l_returnflag = '{x}'), 0) AS {x.lower()}" for x in "ANR") + " FROM lineitem GROUP BY l_linestatus",
+    ),
+    "sql_create_view": Query(_created_view, None, "SELECT count(*) AS order_count, CAST(sum(amount) AS DECIMAL(20,2)) AS total_amount FROM shop_orders WHERE amount > 50"),
+    "sql_create_table": Query(_created_table, None, "SELECT n_regionkey, 2 * count(*) AS n FROM nation GROUP BY n_regionkey"),
+    "sql_copy": Query(_copied, None, "SELECT c_mktsegment, count(*) AS n FROM customer GROUP BY c_mktsegment"),
+    "sql_explain": Query(_explained, None, "SELECT count(*) AS n_rows, true AS reads_one_column, true AS pushes_filter FROM orders WHERE o_totalprice > 1000"),
     "asof_join": Query(
         _asof, None,
         "WITH o AS (SELECT id AS order_id, loaded_at AS t, max(load_no) AS load_no FROM shop_orders WHERE id IS NOT NULL GROUP BY 1, 2) SELECT s.shipment_id, o.load_no FROM shipments s ASOF LEFT JOIN o ON s.order_id = o.order_id AND s.loaded_at >= o.t",

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from ..contracts import I32, contract
 from ..pipeline import Pipeline, write_parquet_sink
-from ..plans import PlanNode, apply_rules
 from ..scale import scratch
 from ..sources import csv, delta, ipc
 from ..sources.parquet import footers, write_partitioned
@@ -93,13 +92,6 @@ def generated_pipeline(spark, d):
     return spark.read.parquet(out)
 
 
-def plan_rewrite(spark, d):
-    """Operators of a plan before and after the replacement rules, as rows."""
-    plan = PlanNode("BroadcastHashJoin", ("order_id",), (PlanNode("Scan", ("order_id",)), PlanNode("Filter", ("other",))))
-    rows = [(k, a, b) for k, (a, b) in enumerate(zip(plan.names(), apply_rules(plan).names()))]
-    return spark.createDataFrame(rows, "position int, before string, after string")
-
-
 _KEPT = "FROM headers WHERE id IS NOT NULL AND name IS NOT NULL"
 ROUNDTRIPS: dict[str, Query] = {
     "csv_ingest": Query(csv_ingest, None, f"SELECT id, name, nullif(note, '') AS note {_KEPT}"),
@@ -109,7 +101,6 @@ ROUNDTRIPS: dict[str, Query] = {
     "partitioned_dataset": Query(partitioned_dataset, None, "SELECT count(*) AS n_rows, CAST(4 AS BIGINT) AS n_files FROM shipments"),
     "typed_pipeline": Query(typed_pipeline, None, "SELECT load_no, count(*) AS n_rows FROM shop_orders WHERE id > 100 GROUP BY load_no"),
     "generated_pipeline": Query(generated_pipeline, None, "SELECT o_orderstatus, count(o_orderkey) AS n_orders, max(o_totalprice) AS most FROM orders WHERE o_totalprice > 100000 GROUP BY o_orderstatus"),
-    "plan_rewrite": Query(plan_rewrite, None, "SELECT * FROM (VALUES (0, 'BroadcastHashJoin', 'NativeBroadcastHashJoin'), (1, 'Scan', 'NativeScan'), (2, 'Filter', 'Filter')) AS t(position, before, after)"),
 }
 QUERIES = {name: q.frame for name, q in ROUNDTRIPS.items()}
 ORACLES = {name: q.other for name, q in ROUNDTRIPS.items()}
