@@ -6,6 +6,7 @@ import hashlib
 import os
 import shutil
 import tempfile
+import uuid
 from abc import ABC, abstractmethod
 from dataclasses import dataclass
 from datetime import UTC, datetime
@@ -186,6 +187,33 @@ class _HadoopUpload(Upload):
         self.uploader.abort(self.upload, self.path).get()
 
 
+class _HadoopParts(Upload):
+    """For file systems without multipart uploads: parts as objects in a folder beside the target, joined in the JVM and renamed."""
+
+    def __init__(self, store: HadoopStore, key: str):
+        self.store, self.key, self.folder, self.numbers = store, key, f"{key}.parts-{uuid.uuid4().hex}", set()
+
+    def put_part(self, number: int, data: bytes) -> None:
+        self.store.put(f"{self.folder}/{number:08d}", data)
+        self.numbers.add(number)
+
+    def complete(self) -> None:
+        whole = f"{self.folder}/whole"
+        out = self.store.fs.create(self.store._path(whole), True)
+        try:
+            for number in sorted(self.numbers):
+                part = self.store.fs.open(self.store._path(f"{self.folder}/{number:08d}"))
+                self.store.jvm.org.apache.hadoop.io.IOUtils.copyBytes(part, out, 1 << 20, False)
+                part.close()
+        finally:
+            out.close()
+        self.store.move(whole, self.key)
+        self.abort()
+
+    def abort(self) -> None:
+        self.store.fs.delete(self.store._path(self.folder), True)
+
+
 class HadoopStore(ObjectStore):
     """A folder on any file system the session's Hadoop knows (``s3a://``, ``hdfs://``, ``file://``), through the JVM.
 
@@ -228,7 +256,8 @@ class HadoopStore(ObjectStore):
             out.close()
 
     def begin(self, key: str) -> Upload:
-        return _HadoopUpload(self, key)
+        able = self.fs.hasPathCapability(self._path(key), "fs.capability.multipart.uploader")
+        return _HadoopUpload(self, key) if able else _HadoopParts(self, key)
 
     def move(self, source: str, target: str) -> None:
         self.delete(target)

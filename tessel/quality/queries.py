@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..tables import table
-from . import differences, drift, hotkeys, orphans, parsing, profile
+from . import differences, drift, hotkeys, oracles, orphans, parsing, profile
 
 MANIFEST_FIELDS = [
     "schema_version", "input_key", "input_size", "input_e_tag", "input_last_modified", "row_count", "content_digest",
@@ -95,11 +95,20 @@ def p4_table(spark: SparkSession, d: str) -> DataFrame:
     return drift.one_table(table(spark, d, "manifest_lines"))
 
 
+def p4_table_counts(spark: SparkSession, d: str) -> DataFrame:
+    """How many lines of the one table have a value for each field."""
+    t = drift.one_table(table(spark, d, "manifest_lines"))
+    fields = [c for c in t.columns if "__" not in c and c not in ("file_no", "stream", "written_at", "line_no", "_conflicts", "_rest")]
+    counts = t.agg(*(F.count(F.col(f"`{c}`")).alias(f"_{k}") for k, c in enumerate(fields)))
+    cells = F.array(*(F.struct(F.lit(c).alias("field"), F.col(f"_{k}").alias("n_lines")) for k, c in enumerate(fields)))
+    return counts.select(F.explode(cells).alias("_x")).select("_x.*").where(F.col("n_lines") > 0)
+
+
 def p4_alternatives(spark: SparkSession, d: str) -> DataFrame:
     return drift.alternatives(table(spark, d, "manifest_lines"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_profile, p1_expressions, p1_coverage, p2_found, p2_report, p3_found, p3_loaded, p3_report, p4_found, p4_table, p4_alternatives, p5_found, p5_per_key, p6_found, p6_summary)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_profile, p1_expressions, p1_coverage, p2_found, p2_report, p3_found, p3_loaded, p3_report, p4_found, p4_table, p4_table_counts, p4_alternatives, p5_found, p5_per_key, p6_found, p6_summary)}
 
 _P2 = """
 WITH o AS (SELECT id, min(loaded_at) AS first_at, min(deleted_at) AS gone_at FROM shop_orders WHERE id IS NOT NULL GROUP BY id),
@@ -153,10 +162,6 @@ k AS (SELECT *,
   FROM u)
 """
 
-_NOTE_BREAKS = "(v = '' OR regexp_matches(v, '^[\\s\\p{Z}\\x{85}\\v]|[\\s\\p{Z}\\x{85}\\v]$') OR regexp_matches(replace(v, chr(10), ''), '\\p{Cc}') OR contains(v, chr(65533)))"
-_NAME_BREAKS = "NOT regexp_full_match(v, '\\p{L}[\\p{L}''.-]*( \\p{L}[\\p{L}''.-]*)*')"
-
-
 def _p1(t: str, c: str, breaks: str | None, outside: str | None, level: str) -> str:
     some = "count(v)"
     share = lambda x: f"CASE WHEN {some} > 0 THEN CAST(count(*) FILTER (WHERE {x}) AS DOUBLE) / {some} END" if x else "CAST(NULL AS DOUBLE)"
@@ -167,9 +172,9 @@ def _p1(t: str, c: str, breaks: str | None, outside: str | None, level: str) ->
 
 
 _P1 = f"""
-WITH p AS ({_p1("shop_orders", "note", _NOTE_BREAKS, None, "CAST(length(v) AS DOUBLE)")}
+WITH p AS ({_p1("shop_orders", "note", oracles.NOTE_BREAKS, None, "CAST(length(v) AS DOUBLE)")}
   UNION ALL {_p1("shop_orders", "amount", None, "(v < 0.01 OR v > 20000)", "CAST(v AS DOUBLE)")}
-  UNION ALL {_p1("headers", "name", _NAME_BREAKS, None, "CAST(length(v) AS DOUBLE)")}),
+  UNION ALL {_p1("headers", "name", oracles.NAME_BREAKS, None, "CAST(length(v) AS DOUBLE)")}),
 l AS (UNPIVOT p ON null_share, distinct_share, pattern_share, range_share, level INTO NAME measure VALUE value),
 m AS (SELECT *, quantile_cont(value, 0.5) OVER (PARTITION BY table_name, column_name, measure) AS mid FROM l)
 SELECT table_name, column_name, load_no, measure FROM m WHERE CASE measure
@@ -178,6 +183,7 @@ SELECT table_name, column_name, load_no, measure FROM m WHERE CASE measure
 """
 
 ORACLES = {
+    **oracles.ORACLES,
     "p1_found": _P1,
     "p3_found": _P3 + "SELECT record_id, reason FROM k WHERE reason IS NOT NULL",
     "p3_report": _P3 + "SELECT file_no, coalesce(reason, 'valid') AS reason, count(*) AS n_records FROM k GROUP BY 1, 2",

@@ -11,6 +11,7 @@ from tessel.codegen.gate import check_gate
 from tessel.contracts import ContractMismatch, contract, shape_of, struct_type
 from tessel.sources import overwrite_delta
 
+# The forms of declarations, and below the names of errors, which callers tell apart.
 DBT = """
 models:
   - name: orders

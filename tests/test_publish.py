@@ -1,5 +1,7 @@
 import json
 import os
+import threading
+import time
 
 import pyarrow.parquet as pq
 import pytest
@@ -7,7 +9,7 @@ import pytest
 from tessel.publish import (
     CompletionIdentityRequired, CompletionManifest, HadoopStore, InvalidManifest, InvalidSnapshot, LocalStore, ManifestViolation, ObjectMeta, PublicationError, PublicationOutcome,
     PublicationPhase, SnapshotViolation, StagedFile, StagingError, StagingOutcome, StagingPhase, UnsupportedDigestScheme, UnsupportedManifestVersion, decode_manifest, download_completed,
-    download_to_temp, manifest_key, publish, publish_dataframe, read_completed,
+    download_to_temp, manifest_key, publish, publish_dataframe, read_completed, try_delete, upload_from_temp,
 )
 from tessel.publish import completed
 from tessel.publish.errors import ReadManifestError
@@ -249,3 +251,83 @@ def test_safety(tmp_path):
     assert (tmp_path / "d").stat().st_mode & 0o777 == 0o700
     with pytest.raises(FileExistsError):
         make_private_dir(tmp_path / "d")
+
+
+class Counting(LocalStore):
+    """Counts the parts in flight; may fail one part, or the abort."""
+
+    def __init__(self, root, fail_part=None, fail_abort=False):
+        super().__init__(root)
+        self.now, self.most, self.sizes, self.aborted = 0, 0, {}, False
+        self.fail_part, self.fail_abort, self.lock = fail_part, fail_abort, threading.Lock()
+
+    def begin(self, key):
+        inner, store = super().begin(key), self
+
+        class Watched(type(inner)):
+            def __init__(self):
+                pass
+
+            def put_part(self, number, data):
+                with store.lock:
+                    store.now += 1
+                    store.most = max(store.most, store.now)
+                    store.sizes[number] = len(data)
+                time.sleep(0.005)
+                try:
+                    if number == store.fail_part:
+                        raise OSError("part lost")
+                    inner.put_part(number, data)
+                finally:
+                    with store.lock:
+                        store.now -= 1
+
+            def complete(self):
+                inner.complete()
+
+            def abort(self):
+                store.aborted = True
+                inner.abort()
+                if store.fail_abort:
+                    raise OSError("abort lost")
+
+        return Watched()
+
+
+def test_upload_in_parts(tmp_path):
+    data = os.urandom(1_000_003)
+    (tmp_path / "big").write_bytes(data)
+    store = Counting(tmp_path / "store")
+    upload_from_temp(store, str(tmp_path / "big"), "a/b", part_bytes=100_000)
+    assert store.get("a/b") == data and store.most == 2 and not store.aborted
+    assert [store.sizes[k] for k in range(11)] == [100_000] * 10 + [3]
+    upload_from_temp(store, str(tmp_path / "big"), "a/c", part_bytes=1 << 20)
+    assert store.get("a/c") == data and len(store.sizes) == 11
+
+
+@pytest.mark.parametrize("fail_abort", [False, True])
+def test_a_lost_part_aborts(tmp_path, fail_abort):
+    (tmp_path / "big").write_bytes(b"x" * 1000)
+    store = Counting(tmp_path / "store", 3, fail_abort)
+    store.put("k", b"old")
+    with pytest.raises(OSError, match="part lost") as e:
+        upload_from_temp(store, str(tmp_path / "big"), "k", part_bytes=100)
+    assert store.aborted and store.get("k") == b"old" and sorted(p.name for p in (tmp_path / "store").iterdir()) == ["k"]
+    assert bool(getattr(e.value, "__notes__", [])) == fail_abort
+
+
+def test_hadoop_store_in_parts_and_moves(spark, tmp_path):
+    store = HadoopStore(spark, f"file://{tmp_path}/h")
+    (tmp_path / "h").mkdir()
+    (tmp_path / "big").write_bytes(b"0123456789" * 50)
+    upload_from_temp(store, str(tmp_path / "big"), "k", part_bytes=64)
+    assert store.get("k") == b"0123456789" * 50
+    store.put("small", b"s")
+    store.move("k", "deep/er")
+    assert store.get("deep/er") == b"0123456789" * 50 and store.get("small") == b"s"
+    with pytest.raises(Exception, match="k"):
+        store.head("k")
+    local = LocalStore(tmp_path / "l")
+    local.put("a", b"1")
+    local.move("a", "b/c")
+    assert local.get("b/c") == b"1" and try_delete(local, "../x") is not None and try_delete(local, "none") is None

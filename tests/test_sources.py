@@ -167,3 +167,40 @@ def test_flight(spark):
         assert fetch_orders(server.port).num_rows == 5
         with pytest.raises(flight.FlightError):
             fetch_orders(server.port, b"other")
+
+
+def test_plain_csv_is_split_and_multi_line_csv_is_not(spark, tmp_path):
+    from tessel.sources import csv
+
+    plain, deep = tmp_path / "plain.csv", tmp_path / "deep.csv"
+    plain.write_text("id,name,note\n" + "".join(f'{k},"n ""{k}""",x\n' for k in range(20_000)))
+    deep.write_text('id,name,note\n1,"a\nb",x\n2,c,\n')
+    assert not csv.records_span_lines(spark, str(plain)) and csv.records_span_lines(spark, str(deep))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "65536")
+    try:
+        df = csv.ingest_csv(spark, str(plain))
+        assert df.rdd.getNumPartitions() > 3 and df.count() == 20_000 and df.where("name = 'n \"7\"'").first().id == 7
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert [tuple(r) for r in csv.ingest_csv(spark, str(deep)).collect()] == [(1, "a\nb", "x"), (2, "c", None)]
+
+
+@pytest.mark.parametrize("direct", [True, False])
+def test_batches_from_records(tmp_path, direct):
+    from tessel.sources.csv import CsvError, ingest_batches
+
+    path = tmp_path / "x.csv"
+    path.write_text('id,name,note\n1,a,\n2,,"n\nm"\n3,c,d\n')
+    got = [b.to_pylist() for b in ingest_batches(str(path), 2, direct)]
+    assert [len(b) for b in got] == [2, 1] and got[0] == [{"id": 1, "name": "a", "note": None}, {"id": 2, "name": "", "note": "n\nm"}]
+    assert next(ingest_batches(str(path), 1, direct)).num_rows == 1
+    path.write_text("id,name,note\n1,a,b\nx,y,z\n")
+    seen = []
+    with pytest.raises(CsvError) as e:
+        seen.extend(ingest_batches(str(path), 5, direct))
+    assert e.value.row == 1
+    # the rows before the bad one still come
+    assert [b.num_rows for b in seen] == [1]
+    path.write_text("id,name,note\n")
+    assert list(ingest_batches(str(path), 5, direct)) == []
