@@ -28,7 +28,7 @@ from ..publish import LocalStore, ObjectMeta, publish, publish_dataframe, read_c
 from ..scale import cut, scratch, shared_path
 from ..session import PROFILES
 from ..sources import csv, delta, flight, ipc
-from ..sources.memory import memory_table, register_sources
+from ..sources.memory import MemoryProvider, register_sources
 from ..sources.parquet import layout_report, read_ingest, write_single
 from ..streaming.batches import batches_of, rows_of
 from ..streaming.bounded import run_bounded_store
@@ -158,7 +158,8 @@ def registered_tables(spark, d):
 
 def memory_provider(spark, d):
     t = table(spark, d, "supplier").select("s_suppkey", "s_nationkey", "s_acctbal").toArrow()
-    memory_table(spark, t.to_batches(), "memory_suppliers")
+    provider = MemoryProvider(spark, t.to_batches())
+    provider.scan(["s_nationkey", "s_acctbal"]).createOrReplaceTempView("memory_suppliers")
     return cut(spark.sql("SELECT s_nationkey, count(*) AS n_suppliers FROM memory_suppliers WHERE s_acctbal > 0 GROUP BY s_nationkey"))
 
 

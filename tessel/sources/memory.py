@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 import base64
+import os
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from ..scale import shared_path
+from .ipc import read_ipc
+
 
 def memory_table(spark: SparkSession, data: pa.Table | list[pa.RecordBatch], name: str | None = None, schema=None) -> DataFrame:
     """A DataFrame over Arrow data, under a contract's schema if one is given, and as a view if it has a name."""
@@ -26,6 +30,28 @@ def packed(data: pa.Table) -> str:
     return base64.b64encode(sink.getvalue()).decode()
 
 
+class MemoryProvider:
+    """A table of Arrow batches that is scanned by columns: a scan reads the columns asked for and no others.
+
+    The batches are kept once as a mapped IPC file in the session's shared folder, so data does not travel in plans; filters
+    and limits are left to the engine.
+    """
+
+    def __init__(self, spark: SparkSession, batches: list[pa.RecordBatch], schema: pa.Schema | None = None):
+        schema = schema or batches[0].schema
+        self.spark, self.schema, self.path = spark, schema, os.path.join(shared_path(spark), "table.arrow")
+        with pa.OSFile(self.path, "wb") as sink, pa.ipc.new_file(sink, schema) as w:
+            for batch in batches:
+                w.write_batch(batch)
+
+    def scan(self, columns: list[str] | None = None) -> DataFrame:
+        """The columns in the order asked for, or all; an unknown one is an error."""
+        unknown = set(columns or ()) - set(self.schema.names)
+        if unknown:
+            raise KeyError(f"no such column: {', '.join(sorted(unknown))}")
+        return read_ipc(self.spark, self.path, columns)
+
+
 class _Part(InputPartition):
     def __init__(self, number: int):
         self.number = number

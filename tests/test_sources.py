@@ -204,3 +204,17 @@ def test_batches_from_records(tmp_path, direct):
     assert [b.num_rows for b in seen] == [1]
     path.write_text("id,name,note\n")
     assert list(ingest_batches(str(path), 5, direct)) == []
+
+
+def test_memory_provider_reads_the_columns_asked_for(spark):
+    import pyarrow as pa
+
+    from tessel.sources.memory import MemoryProvider
+
+    t = pa.table({"id": [1, 2, 3], "name": ["a", None, "c"], "x": [1.5, 2.5, None]})
+    p = MemoryProvider(spark, t.to_batches(max_chunksize=2))
+    assert p.scan(["x", "id"]).columns == ["x", "id"] and [tuple(r) for r in p.scan(["x", "id"]).where("id > 1").orderBy("id").collect()] == [(2.5, 2), (None, 3)]
+    assert p.scan().count() == 3
+    with pytest.raises(KeyError):
+        p.scan(["none"])
+    assert MemoryProvider(spark, [], t.schema).scan(["id"]).collect() == []
