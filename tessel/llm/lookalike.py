@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..scale import cut
+from ..scale import cut, sized_join
 
 #: Format characters that are drawn, and characters outside that category that are not.
 DRAWN_FORMATS = {*range(0x600, 0x606), 0x6DD, 0x70F, 0x890, 0x891, 0x8E2, 0x110BD, 0x110CD}
@@ -318,9 +318,9 @@ def alike_pairs(hashes: DataFrame, id_column: str = "doc_id", chunk: int = 1_000
     """
     hashes = cut(hashes.select(F.col(id_column).alias("_id"), "form", "own").where(F.col("_id").isNotNull()).distinct())
     several = hashes.groupBy("form").agg(F.min("own").alias("_lo"), F.max("own").alias("_hi")).where(F.col("_lo") != F.col("_hi")).select("form")
-    rows = cut(hashes.join(several, "form", "left_semi"))
+    rows = cut(sized_join(hashes, several, ["form"], "left_semi"))
     texts = rows.groupBy("form", "own").agg(F.count("*").alias("n"))
-    texts = cut(texts.join(texts.groupBy("form").agg(_chunks(F.count("*"), chunk).alias("_k")), "form"))
+    texts = cut(sized_join(texts, texts.groupBy("form").agg(_chunks(F.count("*"), chunk).alias("_k")), ["form"]))
     every = F.explode(F.sequence(F.lit(0), F.col("_k") - 1))
     place = F.pmod(F.xxhash64("own"), F.col("_k")).cast("int")
     a = texts.select("form", F.col("own").alias("own_a"), F.col("n").alias("_na"), place.alias("_i"), every.alias("_j"))
@@ -328,7 +328,7 @@ def alike_pairs(hashes: DataFrame, id_column: str = "doc_id", chunk: int = 1_000
     pairs = a.join(b, ["form", "_i", "_j"]).where(F.col("own_a") < F.col("own_b"))
     pairs = pairs.select("own_a", "own_b", F.explode(F.sequence(F.lit(0), _chunks(F.col("_na"), chunk) - 1)).alias("_ca"), "_nb")
     pairs = pairs.select("own_a", "own_b", "_ca", F.explode(F.sequence(F.lit(0), _chunks(F.col("_nb"), chunk) - 1)).alias("_cb"))
-    documents = rows.join(texts.select("own", "n"), "own").select("_id", "own", F.pmod(F.xxhash64("_id"), _chunks(F.col("n"), chunk)).cast("int").alias("_c"))
+    documents = sized_join(rows, texts.select("own", "n"), ["own"]).select("_id", "own", F.pmod(F.xxhash64("_id"), _chunks(F.col("n"), chunk)).cast("int").alias("_c"))
     for side in ("a", "b"):
         own = documents.select(F.col("_id").alias(f"_id_{side}"), F.col("own").alias(f"own_{side}"), F.col("_c").alias(f"_c{side}"))
         pairs = pairs.join(own, [f"own_{side}", f"_c{side}"])
@@ -339,4 +339,4 @@ def alike_pairs(hashes: DataFrame, id_column: str = "doc_id", chunk: int = 1_000
 def form_classes(hashes: DataFrame, id_column: str = "doc_id") -> DataFrame:
     """``doc_id``, ``class_id`` (the smallest id with the same form) and ``n_texts``, the different texts of the class."""
     groups = hashes.groupBy("form").agg(F.min(id_column).alias("class_id"), F.countDistinct("own").alias("n_texts"))
-    return hashes.join(groups, "form").select(id_column, "class_id", "n_texts")
+    return sized_join(hashes, groups, ["form"]).select(id_column, "class_id", "n_texts")
