@@ -14,7 +14,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..scale import HOT_SHARE, bloom_passes, common_type, cut, hot_keys, parts_for, shuffle_parts, sized_join, with_may
+from ..scale import HOT_SHARE, BloomPass, bloom_passes, common_type, cut, hot_keys, in_passes, parts_for, shuffle_parts, sized_join
 
 #: A chunk has about this many keys.
 CHUNK_KEYS = 16
@@ -98,12 +98,20 @@ def differences(left: DataFrame, right: DataFrame, key: list[str], fields: list[
     n_rows = max(left.count(), right.count())
     hot = sorted({r[0] for x in sides for r in hot_keys(x, "_h", HOT_SHARE).collect()}) if n_rows > BUCKET_ROWS else []
     keys = cut(differing(sides, parts_for(2 * n_rows, BUCKET_ROWS, shuffle_parts(left.sparkSession)), hot))
-    passes = bloom_passes(keys, F.col("_h"), keys.count(), F.col("_h"))
-    found = [sized_join(with_may(x, passes).where("_may").drop("_may"), keys, ["_h"], "left_semi").withColumn("_side", F.lit(n)) for n, x in enumerate(sides)]
+    key_hash = F.col("_h")
+
+    def unlike(p: BloomPass) -> DataFrame:
+        """The full rows of both sides whose keys may differ and belong to a pass."""
+        return reduce(
+            DataFrame.unionByName,
+            [sized_join(x.where(p.own(key_hash) & p.may(key_hash)), keys.where(p.own(key_hash)), ["_h"], "left_semi").withColumn("_side", F.lit(n)) for n, x in enumerate(sides)],
+        )
+
+    found = in_passes(bloom_passes(keys, key_hash, keys.count()), unlike)
     parts = [f"_k{n}" for n in range(len(key))]
     cells = [F.struct(F.lit(None).cast("string").alias("f"), F.lit(None).cast("string").alias("v"))]
     cells += [F.struct(F.lit(f).alias("f"), F.col(f"_{n}").alias("v")) for n, f in enumerate(fields)]
-    values = found[0].unionByName(found[1]).select(*parts, "_side", F.explode(F.array(*cells)).alias("_x"))
+    values = found.select(*parts, "_side", F.explode(F.array(*cells)).alias("_x"))
     values = values.groupBy(*parts, F.col("_x.f").alias("_f"), F.col("_x.v").alias("_v")).agg(F.min("_side").alias("_lo"), F.max("_side").alias("_hi"))
     # the row without field tells which sides have the key at all
     per_key = values.groupBy(*parts).agg(

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..scale import bloom_passes, hot_keys, with_may
+from ..scale import BloomPass, bloom_passes, hot_keys, in_passes
 
 HOT_SHARE = 0.001
 
@@ -46,17 +46,21 @@ def orphan_references(
         return own.agg(F.min(parent_seen_at).alias("_first"), F.min(parent_deleted_at).alias("_gone")).withColumn("_there", F.lit(True))
 
     hot = [r[0] for r in hot_keys(refs, "_key", HOT_SHARE).collect()]
-    refs = with_may(refs, bloom_passes(parents, F.col(parent_key), parents.count(), F.col("_key")))
-    is_hot = F.col("_key").isin(hot)
-    # one scan for what needs no shuffle, one for what does
-    still = refs.where(is_hot | ~F.col("_may")).join(F.broadcast(facts(parents.where(F.col(parent_key).isin(hot)))), "_key", "left")
-    moved = refs.where(F.col("_may") & ~is_hot).join(facts(parents), "_key", "left")
+    key, is_hot = F.col("_key"), F.col("_key").isin(hot)
     kind = (
         F.when(F.col("_there").isNull(), "missing")
         .when(F.col("_first") > F.col("_seen"), "late")
         .when(F.col("_gone") <= F.col("_seen"), "deleted")
     )
-    return still.unionByName(moved).withColumn("kind", kind).where(F.col("kind").isNotNull()).select(*kept, "kind").distinct()
+
+    def failing(p: BloomPass) -> DataFrame:
+        """The failing references whose keys belong to a pass: one scan for what needs no shuffle, one for what does."""
+        own, parent = refs.where(p.own(key)), parents.where(p.own(F.col(parent_key)))
+        still = own.where(is_hot | ~p.may(key)).join(F.broadcast(facts(parent.where(F.col(parent_key).isin(hot)))), "_key", "left")
+        moved = own.where(p.may(key) & ~is_hot).join(facts(parent), "_key", "left")
+        return still.unionByName(moved).withColumn("kind", kind).where(F.col("kind").isNotNull()).select(*kept, "kind")
+
+    return in_passes(bloom_passes(parents, F.col(parent_key), parents.count()), failing).distinct()
 
 
 def orphan_report(orphans: DataFrame, table_name: str, at: str = "shipped_at", id_column: str = "shipment_id") -> DataFrame:

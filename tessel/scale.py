@@ -12,7 +12,10 @@ import math
 import os
 import tempfile
 import uuid
+from collections.abc import Callable
+from dataclasses import dataclass
 from decimal import Decimal
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -172,39 +175,53 @@ def _might_contain(spark: SparkSession, bloom: Column, hashed: Column) -> Column
     return F.coalesce(ClassicColumn(to.column(test)), F.lit(False))
 
 
-def bloom_passes(df: DataFrame, key: Column, keys: int, probe: Column, piece_keys: int = PIECE_KEYS, pass_pieces: int = PASS_PIECES) -> list[tuple[Column, Column]]:
+@dataclass(frozen=True)
+class BloomPass:
+    """The pieces of a Bloom filter that are used at one time, and the keys that belong to them.
+
+    ``own`` says of a key whether it belongs to the pass, ``may`` whether it may be in the filter; false proves that it is not.
+    """
+
+    own: Callable[[Column], Column]
+    may: Callable[[Column], Column]
+
+
+def bloom_passes(df: DataFrame, key: Column, keys: int, piece_keys: int = PIECE_KEYS, pass_pieces: int = PASS_PIECES) -> list[BloomPass]:
     """A Bloom filter over the non-null values of ``key``, of ``BLOOM_BITS`` bits for each of ``keys`` rows, for any number.
 
     The filter is made in pieces by the hash of the key, on the executors, and broadcast as scalar subqueries, which no plan
-    text holds.  Each pass has the pieces that fit its bound.  The result has a pair for each pass: which probing rows
-    belong to it, and whether their key may be among the keys.  False proves that it is not.
+    text holds.  Each pass has the pieces that fit its bound; ``in_passes`` runs one pass after the other.
     """
     spark = df.sparkSession
     pieces = max(1, -(-keys // piece_keys))
-    some, hashed = df.where(key.isNotNull()), F.xxhash64(probe)
+    some = df.where(key.isNotNull())
     if pieces == 1:
         bits = some.agg(_bloom(F.xxhash64(key), keys).alias("bits")).scalar()
-        return [(F.lit(True), _might_contain(spark, bits, hashed))]
+        return [BloomPass(lambda k: F.lit(True), lambda k: _might_contain(spark, bits, F.xxhash64(k)))]
     folder = scratch(spark)
-    rows = some.select(F.xxhash64(key).alias("h")).withColumn("piece", F.pmod("h", F.lit(pieces)).cast("int"))
+    place = lambda k: F.pmod(F.xxhash64(k), F.lit(pieces)).cast("int")
+    rows = some.select(F.xxhash64(key).alias("h"), place(key).alias("piece"))
     # the shuffle moves 12 bytes a key; each filter is then filled in one place, so no half-filled filters travel
     rows.repartition(pieces, "piece").groupBy("piece").agg(_bloom(F.col("h"), piece_keys).alias("bits")).write.partitionBy("piece").parquet(folder)
     kept = spark.read.schema("bits binary, piece int").parquet(folder)
-    piece, out = F.pmod(hashed, F.lit(pieces)), []
-    for first in range(0, pieces, pass_pieces):
-        last = min(first + pass_pieces, pieces) - 1
-        may = F.lit(False)
-        for k in range(first, last + 1):
-            may = F.when(piece == k, _might_contain(spark, kept.where(F.col("piece") == k).agg(F.first("bits")).scalar(), hashed)).otherwise(may)
-        out.append((piece.between(first, last), may))
-    return out
 
+    def of(first: int, last: int) -> BloomPass:
+        def may(k: Column) -> Column:
+            out = F.lit(False)
+            for p in range(first, last + 1):
+                bits = kept.where(F.col("piece") == p).agg(F.first("bits")).scalar()
+                out = F.when(place(k) == p, _might_contain(spark, bits, F.xxhash64(k))).otherwise(out)
+            return out
+
+        return BloomPass(lambda k: place(k).between(first, last), may)
+
+    return [of(first, min(first + pass_pieces, pieces) - 1) for first in range(0, pieces, pass_pieces)]
 
-def with_may(df: DataFrame, passes: list[tuple[Column, Column]], name: str = "_may") -> DataFrame:
-    """Rows with the verdict of ``bloom_passes``: one scan for each pass; rows whose key is null are left out beyond one pass."""
-    from functools import reduce
 
-    return reduce(DataFrame.unionByName, [(df if len(passes) == 1 else df.where(own)).withColumn(name, may) for own, may in passes])
+def in_passes(passes: list[BloomPass], make: Callable[[BloomPass], DataFrame]) -> DataFrame:
+    """The union of what ``make`` gives for each pass.  Several passes run as jobs of their own, for tasks of one job would hold the
+    filters of all; ``make`` should give few rows."""
+    return reduce(DataFrame.unionByName, [make(p) if len(passes) == 1 else cut(make(p)) for p in passes])
 
 
 def common_type(a: T.DataType, b: T.DataType) -> T.DataType:

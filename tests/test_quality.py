@@ -56,16 +56,17 @@ def test_hot_keys(spark):
 
 
 def test_bloom_has_no_false_negative(spark):
-    keys = spark.range(0, 3000, 3)
-    for piece, of_pass in ((10_000, 16), (300, 2), (90, 16)):
-        passes = scale.bloom_passes(keys, F.col("id"), 1000, F.col("id"), piece, of_pass)
-        found = scale.with_may(spark.range(6000), passes)
+    keys, key = spark.range(0, 3000, 3), F.col("id")
+    for piece, of_pass, n_passes in ((10_000, 16, 1), (300, 2, 2), (90, 16, 1), (30, 4, 9)):
+        passes = scale.bloom_passes(keys, key, 1000, piece, of_pass)
+        assert len(passes) == n_passes
+        found = scale.in_passes(passes, lambda p: spark.range(6000).where(p.own(key)).withColumn("may", p.may(key)))
         assert found.count() == 6000 == found.select("id").distinct().count()
-        assert found.where("_may and id % 3 = 0 and id < 3000").count() == 1000
+        assert found.where("may and id % 3 = 0 and id < 3000").count() == 1000
         # ten bits a key, in however many pieces: nearly all others are proved to be absent
-        assert found.where("not _may").count() >= 0.98 * 5000
-    none = scale.with_may(spark.range(5), scale.bloom_passes(keys.limit(0), F.col("id"), 0, F.col("id")))
-    assert none.where("not _may").count() == 5
+        assert found.where("not may").count() >= 0.98 * 5000
+    (none,) = scale.bloom_passes(keys.limit(0), key, 0)
+    assert spark.range(5).where(~none.may(key)).count() == 5
 
 
 @pytest.mark.parametrize("rows_per_range", [4, 1000])
@@ -240,6 +241,16 @@ def test_orphans_equal_brute_force(spark):
     assert report.agg(F.sum("n_references")).first()[0] == len(want)
 
 
+def test_orphans_in_several_passes(spark, monkeypatch):
+    dice = random.Random(5)
+    parents = [(k, at(k % 9), at(15) if k % 7 == 0 else None) for k in range(0, 900, 3)]
+    refs = [(dice.choice([6, dice.randrange(900)]), k, at(dice.randrange(20)), at(0)) for k in range(3000)]
+    r, p = orphan_tables(spark, refs, parents)
+    want = Counter(map(tuple, orphans.orphan_references(r, p).collect()))
+    monkeypatch.setattr(scale.bloom_passes, "__defaults__", (40, 3))
+    assert Counter(map(tuple, orphans.orphan_references(r, p).collect())) == want and len(want) > 1500
+
+
 def test_orphans_of_empty_tables(spark):
     r, p = orphan_tables(spark, [(1, 1, at(0), at(0)), (None, 2, at(0), None)], [(1, at(0), None)])
     assert [tuple(x) for x in orphans.orphan_references(r, p.limit(0)).collect()] == [(1, "missing")]
