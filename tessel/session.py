@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import SparkSession
 
-#: Settings every profile has: zone, ANSI errors, adaptive plans, Arrow batches and checks of what is broadcast.
+#: Settings every profile has: zone, ANSI errors, adaptive plans, Arrow batches; unused checkpoints are removed.
 BASE = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.ansi.enabled": "true",
@@ -13,6 +13,7 @@ BASE = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.sql.parquet.filterPushdown": "true",
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 PROFILES = {
     "default": {},

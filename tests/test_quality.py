@@ -516,8 +516,13 @@ def test_one_change_leaves_most_chunks_alone(spark):
 # --- the queries on the test tables
 
 
+#: Their SQL states which names belong to one field; the smallest table has too few files to show all of these renames.
+MANY_FILES = ("p4_alternatives", "p4_table_counts")
+
+
 @pytest.mark.parametrize("name", list(queries.ORACLES))
 def test_queries_equal_sql(spark, sf, name):
+    sf = sf.replace("sf0.001", "sf0.01") if name in MANY_FILES else sf
     duckdb = pytest.importorskip("duckdb")
     import glob
     import os
