@@ -12,11 +12,13 @@ import math
 import os
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from decimal import Decimal
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -30,8 +32,10 @@ HOT_SAMPLE = 1_000_000
 #: A Bloom filter is made in pieces of this many keys, each of ``BLOOM_BITS`` bits a key (5 MB).
 PIECE_KEYS = 4_000_000
 BLOOM_BITS = 10
-#: Pieces that one pass over the probing rows holds (80 MB).
+#: Pieces that one pass over the probing rows holds (80 MB), as mapped files.
 PASS_PIECES = 16
+#: Pieces that one pass holds where files are not mounted: they go through the driver, which has each several times over.
+DRIVER_PIECES = 2
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -49,11 +53,17 @@ def shared_folder(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+def mounted(folder: str) -> str | None:
+    """A folder as a path of a mounted file system; None on any other."""
+    path = folder.removeprefix("file://") if folder.startswith("file://") else folder.removeprefix("file:")
+    return path if path.startswith("/") else None
+
+
 def shared_path(spark: SparkSession) -> str:
     """A new folder below ``shared_folder`` as a path of a mounted file system; other file systems are refused."""
     base = shared_folder(spark)
-    path = base.removeprefix("file://") if base.startswith("file://") else base.removeprefix("file:")
-    if not path.startswith("/"):
+    path = mounted(base)
+    if path is None:
         raise ValueError(f"{base} is not mounted: use a file system path for spark.checkpoint.dir")
     return tempfile.mkdtemp(prefix="tessel-", dir=os.makedirs(path, exist_ok=True) or path)
 
@@ -175,6 +185,58 @@ def _might_contain(spark: SparkSession, bloom: Column, hashed: Column) -> Column
     return F.coalesce(ClassicColumn(to.column(test)), F.lit(False))
 
 
+def _bit_places(hashes: np.ndarray, bits: int) -> Iterator[np.ndarray]:
+    """The places of the bits of hashes in a filter of ``bits`` bits, one array for each bit of a hash."""
+    # mixed once more (splitmix64), for pieces are told apart by the same hash
+    z = hashes.view(np.uint64)
+    z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    z ^= z >> np.uint64(31)
+    first, step = z & np.uint64(0xFFFFFFFF), (z >> np.uint64(32)) | np.uint64(1)
+    for k in range(round(BLOOM_BITS * math.log(2))):
+        yield (first + np.uint64(k) * step) % np.uint64(bits)
+
+
+def _fill_piece(folder: str, bits: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Writes the piece whose hashes the task has; a task that runs again writes the same file."""
+        flags, piece = None, 0
+        for batch in batches:
+            if batch.num_rows:
+                flags, piece = np.zeros(bits, bool) if flags is None else flags, batch.column(1)[0].as_py()
+                for at in _bit_places(batch.column(0).to_numpy(), bits):
+                    flags[at] = True
+        if flags is not None:
+            new = f"{folder}/{piece}-{uuid.uuid4().hex}"
+            np.packbits(flags, bitorder="little").tofile(new)
+            os.replace(new, f"{folder}/{piece}")
+            yield pa.RecordBatch.from_arrays([pa.array([piece], pa.int32())], names=["piece"])
+
+    return run
+
+
+def _in_pieces(folder: str, bits: int, pieces: list[int]):
+    maps: dict[int, np.ndarray] = {}
+
+    def run(hashes: pa.Array, places: pa.Array) -> pa.Array:
+        """Whether hashes may be in their pieces; those of other pieces are in none."""
+        h, place = hashes.to_numpy(zero_copy_only=False), places.to_numpy(zero_copy_only=False)
+        out = np.zeros(len(h), bool)
+        for p in pieces:
+            own = np.flatnonzero(place == p)
+            if not len(own):
+                continue
+            if p not in maps:
+                maps[p] = np.memmap(f"{folder}/{p}", np.uint8, "r")
+            found = np.ones(len(own), np.uint8)
+            for at in _bit_places(h[own], bits):
+                found &= maps[p][at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)
+            out[own] = found == 1
+        return pa.array(out)
+
+    return run
+
+
 @dataclass(frozen=True)
 class BloomPass:
     """The pieces of a Bloom filter that are used at one time, and the keys that belong to them.
@@ -189,8 +251,10 @@ class BloomPass:
 def bloom_passes(df: DataFrame, key: Column, keys: int, piece_keys: int = PIECE_KEYS, pass_pieces: int = PASS_PIECES) -> list[BloomPass]:
     """A Bloom filter over the non-null values of ``key``, of ``BLOOM_BITS`` bits for each of ``keys`` rows, for any number.
 
-    The filter is made in pieces by the hash of the key, on the executors, and broadcast as scalar subqueries, which no plan
-    text holds.  Each pass has the pieces that fit its bound; ``in_passes`` runs one pass after the other.
+    One piece is broadcast as a scalar subquery, which no plan text holds.  Several are made by the hash of the key, on the
+    executors, as files of the shared folder that tasks map into memory, so the driver holds none however many there are.
+    Where that folder is not mounted, they are scalar subqueries, of which a pass has few.  Each pass has the pieces that fit
+    its bound; ``in_passes`` runs one pass after the other.
     """
     spark = df.sparkSession
     pieces = max(1, -(-keys // piece_keys))
@@ -200,9 +264,22 @@ def bloom_passes(df: DataFrame, key: Column, keys: int, piece_keys: int = PIECE_
         return [BloomPass(lambda k: F.lit(True), lambda k: _might_contain(spark, bits, F.xxhash64(k)))]
     folder = scratch(spark)
     place = lambda k: F.pmod(F.xxhash64(k), F.lit(pieces)).cast("int")
-    rows = some.select(F.xxhash64(key).alias("h"), place(key).alias("piece"))
     # the shuffle moves 12 bytes a key; each filter is then filled in one place, so no half-filled filters travel
-    rows.repartition(pieces, "piece").groupBy("piece").agg(_bloom(F.col("h"), piece_keys).alias("bits")).write.partitionBy("piece").parquet(folder)
+    rows = some.select(F.xxhash64(key).alias("h"), place(key).alias("piece")).repartitionById(pieces, F.col("piece"))
+    path = mounted(folder)
+    if path is not None:
+        os.makedirs(path)
+        n_bits = -(-max(piece_keys * BLOOM_BITS, 1024) // 8) * 8
+        filled = {r[0] for r in rows.mapInArrow(_fill_piece(path, n_bits), "piece int").collect()}
+
+        def mapped(first: int, last: int) -> BloomPass:
+            run = _in_pieces(path, n_bits, [p for p in range(first, last + 1) if p in filled])
+            # so that the optimizer runs it nowhere else, as on the other side of a join
+            test = F.arrow_udf(run, "boolean", F.ArrowUDFType.SCALAR).asNondeterministic()
+            return BloomPass(lambda k: place(k).between(first, last), lambda k: test(F.xxhash64(k), place(k)))
+
+        return [mapped(first, min(first + pass_pieces, pieces) - 1) for first in range(0, pieces, pass_pieces)]
+    rows.groupBy("piece").agg(_bloom(F.col("h"), piece_keys).alias("bits")).write.partitionBy("piece").parquet(folder)
     kept = spark.read.schema("bits binary, piece int").parquet(folder)
 
     def of(first: int, last: int) -> BloomPass:
@@ -215,7 +292,8 @@ def bloom_passes(df: DataFrame, key: Column, keys: int, piece_keys: int = PIECE_
 
         return BloomPass(lambda k: place(k).between(first, last), may)
 
-    return [of(first, min(first + pass_pieces, pieces) - 1) for first in range(0, pieces, pass_pieces)]
+    few = min(pass_pieces, DRIVER_PIECES)
+    return [of(first, min(first + few, pieces) - 1) for first in range(0, pieces, few)]
 
 
 def in_passes(passes: list[BloomPass], make: Callable[[BloomPass], DataFrame]) -> DataFrame:

@@ -1,6 +1,7 @@
 import datetime as dt
 import json
 import random
+import re
 import statistics
 from collections import Counter
 from decimal import Decimal
@@ -69,6 +70,21 @@ def test_bloom_has_no_false_negative(spark):
     assert spark.range(5).where(~none.may(key)).count() == 5
 
 
+@pytest.mark.parametrize("is_mounted", [True, False])
+def test_bloom_pieces_do_not_go_through_the_driver(spark, monkeypatch, is_mounted):
+    if not is_mounted:
+        monkeypatch.setattr(scale, "mounted", lambda folder: None)
+    key = F.col("id")
+    passes = scale.bloom_passes(spark.range(0, 3000, 3), key, 1000, 90, 16)
+    found = [spark.range(6000).where(p.own(key)).withColumn("may", p.may(key)) for p in passes]
+    sent = [len(set(re.findall(r"subquery#\d+", df._jdf.queryExecution().optimizedPlan().toString()))) for df in found]
+    # pieces are read from files; without mounted files, few are in one plan
+    assert sent == ([0] if is_mounted else [2] * 6)
+    both = scale.in_passes(passes, lambda p: spark.range(6000).where(p.own(key)).withColumn("may", p.may(key)))
+    assert both.where("may and id % 3 = 0 and id < 3000").count() == 1000 and both.where("not may").count() >= 0.98 * 5000
+    assert both.count() == 6000
+
+
 @pytest.mark.parametrize("rows_per_range", [4, 1000])
 def test_running_sum(spark, rows_per_range):
     rows = [(k % 2, float(k * 7 % 23) if k % 6 else None, k, k if k % 5 else None) for k in range(50)]
