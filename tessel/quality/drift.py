@@ -19,7 +19,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..scale import cut, in_ranges, sized_join
+from .. import scale
+from ..scale import cut, in_ranges, size_of, sized_join
 
 #: JSON types and their bits; one more bit says that a number needs more than 64 bits.
 TYPES = ("string", "whole", "decimal", "boolean", "array", "object")
@@ -28,7 +29,8 @@ WIDE = 1 << len(TYPES)
 SAME_MEANING = 0.5
 #: Names in at least this share of the files of the rarer one are different fields.
 SIDE_BY_SIDE = 0.05
-#: Names from which words are learned, and columns that a table gets; the values of rarer fields are kept as a map.
+#: Up to so many names, what they say is learned in the driver, beyond by joins; and columns that a table gets: values of rarer fields are
+#: kept by name.
 MOST_NAMES = 2_000
 #: What a line is reduced to for the table.
 CELLS = "array<struct<name:string,k:int,t:string>>"
@@ -196,18 +198,29 @@ def learn(fields: DataFrame, names: list[tuple[str, int, int]]) -> Learned:
     return Learned(frozenset(map(frozenset, apart)), frozenset(frozenset((x[0], y[0])) for x, y in words if len(x) == len(y) == 1))
 
 
-def with_synonyms(learned: Learned, renames: DataFrame) -> Learned:
-    """``learned`` and the words that take each other's place in renames of more than one file, unless they exclude each other."""
-    n = renames.groupBy("old", "new").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "old", "new").limit(MOST_NAMES)
-    seen: dict[tuple[str, str], int] = defaultdict(int)
-    for r in n.collect():
-        shared, left, right = _split_words(r.old, r.new)
-        if shared and len(left) == len(right) == 1:
-            seen[min(left[0], right[0]), max(left[0], right[0])] += r.n
+def _word_pairs(renames: DataFrame) -> list[tuple[str, str, int]]:
+    """Pairs of words that take each other's place in renames of more than one file, most often first."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for old, new, n in zip(*(batch.column(k).to_pylist() for k in range(3))):
+                shared, left, right = _split_words(old, new)
+                if shared and len(left) == len(right) == 1:
+                    rows.append((*sorted((left[0], right[0])), n))
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.string(), pa.string(), pa.int64()))], names=["x", "y", "n"])
+
+    pairs = renames.groupBy("old", "new").agg(F.count("*").alias("n")).mapInArrow(run, "x string, y string, n bigint")
+    found = pairs.groupBy("x", "y").agg(F.sum("n").alias("n")).where("n > 1").collect()
+    return sorted(((r.x, r.y, r.n) for r in found), key=lambda r: (-r[2], r[:2]))
+
+
+def _joined(pairs: list[tuple[str, str, int]], learned: Learned) -> Learned:
+    """``learned`` with one word for all words that are linked by ``pairs`` and do not exclude each other."""
     group: dict[str, set[str]] = {}
-    for (x, y), k in sorted(seen.items(), key=lambda e: (-e[1], e[0])):
+    for x, y, _ in pairs:
         a, b = group.setdefault(x, {x}), group.setdefault(y, {y})
-        if k > 1 and a is not b and not any(frozenset((v, w)) in learned.exclusive for v in a for w in b):
+        if a is not b and not any(frozenset((v, w)) in learned.exclusive for v in a for w in b):
             a |= b
             for w in b:
                 group[w] = a
@@ -215,6 +228,11 @@ def with_synonyms(learned: Learned, renames: DataFrame) -> Learned:
     return Learned(learned.different, frozenset(frozenset(same.get(w, w) for w in pair) for pair in learned.exclusive), same)
 
 
+def with_synonyms(learned: Learned, renames: DataFrame) -> Learned:
+    """``learned`` and the words that take each other's place in renames of more than one file, unless they exclude each other."""
+    return _joined(_word_pairs(renames), learned)
+
+
 def file_order(lines: DataFrame) -> DataFrame:
     """``file_no`` and ``before``, the file before it in its stream by written_at, then file_no; null for the first.
 
@@ -243,6 +261,10 @@ def match_renames(gone: list[tuple[str, set]], come: list[tuple[str, set]], lear
         for b, sb in come
         if (not sa or not sb or sa & sb) and (score := same_meaning(a, b, learned))
     )
+    return _each_once(ranked)
+
+
+def _each_once(ranked: list[tuple[float, str, str]]) -> list[tuple[str, str]]:
     used_a, used_b, out = set(), set(), []
     for _, a, b in ranked:
         if a not in used_a and b not in used_b:
@@ -252,10 +274,15 @@ def match_renames(gone: list[tuple[str, set]], come: list[tuple[str, set]], lear
     return out
 
 
+def _both_sides(moved: DataFrame) -> DataFrame:
+    """``file_no`` and the fields that go and that come with their shapes; ``moved``: file_no, field, is_in, shapes."""
+    side = lambda present: F.collect_list(F.when(present, F.struct("field", "shapes")))
+    return moved.groupBy("file_no").agg(side(~F.col("is_in")).alias("gone"), side(F.col("is_in")).alias("come")).select("file_no", "gone", "come")
+
+
 def _renames(moved: DataFrame, learned: Learned) -> DataFrame:
     """``file_no``, ``old``, ``new`` of files in which fields both go and come; ``moved``: file_no, field, is_in, shapes."""
-    side = lambda present: F.collect_list(F.when(present, F.struct("field", "shapes")))
-    both = moved.groupBy("file_no").agg(side(~F.col("is_in")).alias("gone"), side(F.col("is_in")).alias("come")).select("file_no", "gone", "come")
+    both = _both_sides(moved)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -271,6 +298,108 @@ def _renames(moved: DataFrame, learned: Learned) -> DataFrame:
     return both.mapInArrow(run, "file_no bigint, old string, new string")
 
 
+def _candidates(moved: DataFrame, same: dict[str, str]) -> DataFrame:
+    """``file_no``, ``old``, ``new``, ``score`` and the words in which the names differ, ``x`` and ``y``: all that can be renames by names and shapes
+    alone."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = (pa.int64(), pa.string(), pa.string(), pa.float64(), pa.list_(pa.string()), pa.list_(pa.string()))
+        as_batch = lambda rows: pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names=["file_no", "old", "new", "score", "x", "y"])
+        rows = []
+        for batch in batches:
+            for f, gone, come in zip(*(batch.column(k).to_pylist() for k in range(3))):
+                gone, come = ([(x["field"], set(x["shapes"] or ())) for x in side] for side in (gone, come))
+                for a, sa in gone:
+                    for b, sb in come:
+                        if (not sa or not sb or sa & sb) and (score := same_meaning(a, b, Learned(same=same))):
+                            rows.append((f, a, b, score, *_split_words(a, b, same)[1:]))
+                    if len(rows) >= 10_000:
+                        yield as_batch(rows)
+                        rows = []
+        yield as_batch(rows)
+
+    return _both_sides(moved).mapInArrow(run, "file_no bigint, old string, new string, score double, x array<string>, y array<string>")
+
+
+def _best(candidates: DataFrame) -> DataFrame:
+    """``file_no``, ``old``, ``new``: the best candidates of each file, each name once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [(f, *pair) for f, own in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for pair in _each_once(sorted((-c["score"], c["old"], c["new"]) for c in own))]
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.string(), pa.string()))], names=["file_no", "old", "new"])
+
+    own = candidates.groupBy("file_no").agg(F.collect_list(F.struct("score", "old", "new")).alias("own")).select("file_no", "own")
+    return own.mapInArrow(run, "file_no bigint, old string, new string")
+
+
+class _ByJoins:
+    """What ``learn`` finds, for any number of names: only what is asked, by joins that leave everything on the executors."""
+
+    def __init__(self, fields: DataFrame) -> None:
+        sets = fields.groupBy("file_no").agg(F.sort_array(F.collect_set("field")).alias("s")).groupBy("s").agg(F.count("*").alias("n"))
+        self.in_sets = cut(cut(sets.withColumn("sid", F.monotonically_increasing_id())).select("sid", "n", F.explode("s").alias("field")))
+        self.files = cut(self.in_sets.groupBy("field").agg(F.sum("n").alias("files")))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                rows = [(n, w) for n in batch.column(0).to_pylist() for w in name_words(n)]
+                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.string()) for k in (0, 1)], names=["field", "word"])
+
+        self.words = cut(self.files.select("field").mapInArrow(run, "field string, word string"))
+
+    def _apart(self, pairs: DataFrame) -> DataFrame:
+        """Those of ``pairs`` (a, b and n, the files that have both) that stand side by side in the least share of files."""
+        of = lambda c: self.files.select(F.col("field").alias(c), F.col("files").alias(f"files_{c}"))
+        return pairs.join(of("a"), "a").join(of("b"), "b").where(F.col("n") >= F.lit(SIDE_BY_SIDE) * F.least("files_a", "files_b"))
+
+    def different(self, pairs: DataFrame) -> DataFrame:
+        """Those of the pairs of names ``a``, ``b`` that are different fields."""
+        left = pairs.join(self.in_sets.withColumnRenamed("field", "a"), "a")
+        both = left.join(self.in_sets.select("sid", F.col("field").alias("b")), ["sid", "b"])
+        return self._apart(both.groupBy("a", "b").agg(F.sum("n").alias("n"))).select("a", "b")
+
+    def exclusive(self, words: DataFrame) -> DataFrame:
+        """``x``, ``y`` and the reverse: which of the ``words`` (word) exclude each other."""
+        asked = self.in_sets.join(self.words.join(words.distinct(), "word", "left_semi"), "field")
+        left = asked.select("sid", "n", F.col("field").alias("a"), F.col("word").alias("x"))
+        right = asked.select("sid", F.col("field").alias("b"), F.col("word").alias("y"))
+        both = left.join(right, "sid").where("a < b and x <> y").groupBy("a", "b", "x", "y").agg(F.sum("n").alias("n"))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                rows = []
+                for a, b, x, y in zip(*(batch.column(k).to_pylist() for k in range(4))):
+                    if _split_words(a, b)[1:] == ([x], [y]) and {w[:3] for w in name_words(a)} & {w[:3] for w in name_words(b)}:
+                        rows += [(x, y), (y, x)]
+                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.string()) for k in (0, 1)], names=["x", "y"])
+
+        return self._apart(both).select("a", "b", "x", "y").mapInArrow(run, "x string, y string").distinct()
+
+    def allowed(self, candidates: DataFrame, same: dict[str, str]) -> DataFrame:
+        """The candidates that are neither different fields nor differ in words that exclude each other."""
+        spark = candidates.sparkSession
+        names = cut(candidates.select("old", "new", "x", "y").distinct())
+        parted = self.different(names.select(F.col("old").alias("a"), F.col("new").alias("b"))).select(F.col("a").alias("old"), F.col("b").alias("new"))
+        words = cut(names.select("old", "new", F.explode("x").alias("x"), "y").select("old", "new", "x", F.explode("y").alias("y")))
+        one = spark.createDataFrame(list(same.items()), "word string, one string")
+        asked = words.select(F.explode(F.array("x", "y")).alias("one")).distinct()
+        # words that stand for a word that is asked are asked, too
+        exclusive = self.exclusive(asked.select(F.col("one").alias("word")).union(one.join(asked, "one", "left_semi").select("word")))
+        for c in ("x", "y"):
+            exclusive = exclusive.join(one.withColumnRenamed("word", c), c, "left").withColumn(c, F.coalesce("one", c)).drop("one")
+        barred = words.join(exclusive.distinct(), ["x", "y"], "left_semi").select("old", "new")
+        return candidates.join(cut(parted.union(barred).distinct()), ["old", "new"], "left_anti")
+
+    def renames(self, moved: DataFrame) -> DataFrame:
+        """``file_no``, ``old``, ``new``, as ``_renames`` gives with what ``learn`` and ``with_synonyms`` find over all names."""
+        pairs = _word_pairs(cut(_best(self.allowed(cut(_candidates(moved, {})), {}))))
+        asked = moved.sparkSession.createDataFrame([(w,) for r in pairs for w in r[:2]], "word string")
+        exclusive = frozenset(frozenset((r.x, r.y)) for r in self.exclusive(asked).where("x < y").collect()) if pairs else frozenset()
+        same = _joined(pairs, Learned(exclusive=exclusive)).same
+        return _best(self.allowed(cut(_candidates(moved, same)), same))
+
+
 def compared(lines: DataFrame, fields: DataFrame, names: list[tuple[str, int, int]]) -> tuple[DataFrame, DataFrame]:
     """Each file's fields beside those of the file before it, and the renames among them."""
     order = cut(file_order(lines).where(F.col("before").isNotNull()))
@@ -288,6 +417,8 @@ def compared(lines: DataFrame, fields: DataFrame, names: list[tuple[str, int, in
     files = moved.groupBy("file_no").agg(F.bool_or("is_in").alias("a"), F.bool_or(~F.col("is_in")).alias("b")).where("a and b").select("file_no")
     moved = cut(moved.join(files, "file_no").join(order, "file_no").withColumn("source", F.when(F.col("is_in"), F.col("file_no")).otherwise(F.col("before"))))
     moved = cut(moved.join(value_shapes(lines, moved.select("file_no", "field", "source")), ["file_no", "field"], "left").select("file_no", "field", "is_in", "shapes"))
+    if len(names) >= MOST_NAMES:
+        return changed, cut(_ByJoins(fields).renames(moved))
     learned = learn(fields, names)
     return changed, cut(_renames(moved, with_synonyms(learned, cut(_renames(moved, learned)))))
 
@@ -318,28 +449,48 @@ def _mask_types(mask: Column) -> Column:
     return F.filter(F.array(*(F.when(mask.bitwiseAND(1 << k) != 0, F.lit(t)) for k, t in enumerate(TYPES))), lambda x: x.isNotNull())
 
 
-def one_names(names: list[tuple[str, int, int]], renames: DataFrame) -> dict[str, str]:
-    """One name for all names that a field has had: names linked by renames are one field, under the most used name.
+def components(pairs: DataFrame) -> DataFrame:
+    """``field`` and ``root``, the least name of all that are linked by pairs ``u``, ``v``, for each name in them.
 
-    Only the ``MOST_NAMES`` most used names are in it; a rarer name stays as it is.
+    Links go to the least neighbour, from greater names and from lesser ones in turn, so long chains get short in few rounds.
     """
-    up, used = {}, {n: k for n, k, _ in names}
-
-    def find(x: str) -> str:
-        while up.setdefault(x, x) != x:
-            x = up[x]
-        return x
-
-    known = F.broadcast(renames.sparkSession.createDataFrame([(n,) for n in used], "n string"))
-    pairs = renames.select("old", "new").distinct()
-    for c in ("old", "new"):
-        pairs = pairs.join(known, pairs[c] == known["n"], "left_semi")
-    for r in pairs.collect():
-        up[find(r.old)] = find(r.new)
-    groups: dict[str, list[str]] = {}
-    for name in used:
-        groups.setdefault(find(name), []).append(name)
-    return {n: min(g, key=lambda x: (-used[x], x)) for g in groups.values() for n in g}
+    edges, before = cut(pairs.where("u <> v").distinct()), None
+    while True:
+        size = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+        if size == before:
+            return edges.select(F.col("u").alias("field"), F.col("v").alias("root")).union(edges.select("v", "v")).distinct()
+        both = edges.select("u", "v").union(edges.select("v", "u"))
+        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        large = cut(both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
+        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(least, "u").select("v", "m").where("v <> m").union(least.select("u", "m"))
+        edges, before = cut(small.toDF("u", "v").distinct()), size
+
+
+def one_names(fields: DataFrame, renames: DataFrame) -> DataFrame:
+    """``field``, ``one`` and ``n``, its lines: one name for all names that a field has had.
+
+    Names linked by renames are one field, under the most used name; names that are in no rename are not in it.
+    """
+    pairs = cut(renames.select(F.col("old").alias("u"), F.col("new").alias("v")).distinct())
+    if size_of(pairs)[1] <= scale.BROADCAST_BYTES:
+        up: dict[str, str] = {}
+
+        def find(x: str) -> str:
+            while up.setdefault(x, x) != x:
+                up[x] = up[up[x]]
+                x = up[x]
+            return x
+
+        for r in pairs.collect():
+            up[find(r.u)] = find(r.v)
+        roots = pairs.sparkSession.createDataFrame([(x, find(x)) for x in list(up)], "field string, root string")
+    else:
+        roots = components(pairs)
+    used = sized_join(fields.groupBy("field").agg(F.sum("n_lines").alias("n")), roots, ["field"])
+    used = cut(used)
+    best = used.groupBy("root").agg(F.min(F.struct((-F.col("n")).alias("n"), "field"))["field"].alias("one"))
+    return cut(used.join(best, "root").select("field", "one", "n"))
 
 
 def _paths(lines: DataFrame) -> DataFrame:
@@ -374,14 +525,11 @@ def alternatives(lines: DataFrame) -> DataFrame:
     ``field`` is the one name, followed by the path inside it for nested values; ``names`` are the names it has had; ``n_lines``
     counts values, of which a line can have several inside arrays.
     """
-    spark = lines.sparkSession
     fields = cut(file_fields(lines))
-    names = names_by_use(fields)
-    table = one_names(names, compared(lines, fields, names)[1])
-    table = F.broadcast(spark.createDataFrame(list(table.items()) or [], "field string, one string"))
+    table = one_names(fields, compared(lines, fields, names_by_use(fields))[1]).select("field", "one")
     plain = F.col("types").bitwiseAND(WIDE - 1).alias("types")
     all_paths = fields.select("file_no", "field", F.lit("").alias("inner"), plain, "n_lines").unionByName(_paths(lines))
-    fused = all_paths.join(table, "field", "left").groupBy(F.concat(F.coalesce("one", "field"), "inner").alias("field")).agg(
+    fused = sized_join(all_paths, table, ["field"], "left").groupBy(F.concat(F.coalesce("one", "field"), "inner").alias("field")).agg(
         F.sort_array(F.collect_set("field")).alias("names"), F.bit_or("types").alias("_t"), F.sum("n_lines").alias("n_lines"), F.min("file_no").alias("first_file")
     )
     return fused.select("field", "names", _mask_types(F.col("_t")).alias("types"), "n_lines", "first_file")
@@ -394,15 +542,19 @@ def one_table(lines: DataFrame) -> DataFrame:
     bits, has its values as text (``field``, the canonical conversion) and a typed branch for each alternative
     (``field__whole`` and so on), null where the value is of another type.  Where a body has several values for a field,
     under other names of it or under a repeated key, the most used name's first value is taken and the others stand in
-    ``_conflicts`` with their names.  Fields beyond the ``MOST_NAMES`` most used ones are kept in ``_rest``, by name.
+    ``_conflicts`` with their names.  The ``MOST_NAMES`` most used names have columns, with the values of every rarer name
+    of their fields; all other fields are kept in ``_rest``, by name.
     """
     fields = cut(file_fields(lines))
     names = names_by_use(fields)
-    one = one_names(names, compared(lines, fields, names)[1])
-    masks: dict[str, int] = {}
-    known = F.broadcast(lines.sparkSession.createDataFrame([(n,) for n in one], "field string"))
-    for r in fields.join(known, "field").groupBy("field").agg(F.bit_or("types").alias("t")).collect():
-        masks[one[r.field]] = masks.get(one[r.field], 0) | r.t
+    linked = one_names(fields, compared(lines, fields, names)[1])
+    known = F.broadcast(lines.sparkSession.createDataFrame([(n,) for n, _, _ in names], "field string"))
+    one = {n: n for n, _, _ in names} | {r.field: r.one for r in linked.join(known, "field").collect()}
+    columns = F.broadcast(lines.sparkSession.createDataFrame([(n,) for n in set(one.values())], "one string"))
+    # rarer names of the fields that have columns
+    rarer = cut(linked.join(columns, "one", "left_semi").join(known, "field", "left_anti")) if len(names) >= MOST_NAMES else None
+    own = sized_join(fields, linked.select("field", "one"), ["field"], "left").select(F.coalesce("one", "field").alias("one"), "types")
+    masks = {r.one: r.t for r in own.join(columns, "one").groupBy("one").agg(F.bit_or("types").alias("t")).collect()}
     head = ["file_no", "stream", "written_at", "line_no"]
 
     parsed, raw = _parsed(F.col("body"), True)
@@ -422,6 +574,8 @@ def one_table(lines: DataFrame) -> DataFrame:
     for n, field in enumerate(sorted(masks)):
         # names stand in order of use, so the most used name's value is first
         own = [_named(m) for m in groups[field]]
+        if rarer is not None:
+            own.append(F.transform(F.filter("_more", lambda x: x["one"] == field), lambda x: x["cell"]))  # noqa: B023
         cells = F.concat(*own) if len(own) > 1 else own[0]
         first.append(cells.alias(f"_{n}"))
         cell = F.get(F.col(f"_{n}"), F.lit(0))
@@ -437,11 +591,26 @@ def one_table(lines: DataFrame) -> DataFrame:
     conflict = F.array().cast("array<struct<field:string,name:string,value:string>>")
     conflicts = F.concat(conflict, *others)
     rest = F.filter("_c", lambda x: ~x["name"].isin(list(one)) if one else F.lit(True))
+    if rarer is not None:
+        rest = F.filter(rest, lambda x: ~F.array_contains(F.transform("_more", lambda m: m["cell"]["name"]), x["name"]))
     rest = F.transform(rest, lambda x: F.struct(x["name"].alias("name"), x["t"].alias("value")))
-    rows = lines.select(*head, parsed.alias("_m"), raw.alias("_raw")).select(*head, F.transform(F.map_entries("_m"), entry).alias("_e")).select(*head, F.coalesce(some, F.array().cast(CELLS)).alias("_c")).select(*head, "_c", *first)
+    rows = lines.select(*head, parsed.alias("_m"), raw.alias("_raw")).select(*head, F.transform(F.map_entries("_m"), entry).alias("_e")).select(*head, F.coalesce(some, F.array().cast(CELLS)).alias("_c"))
+    if rarer is not None:
+        rows = _with_rarer(rows, rarer)
+    rows = rows.select("*", *first)
     return rows.select(*head, *out, F.when(F.size(conflicts) > 0, conflicts).alias("_conflicts"), F.when(F.size(rest) > 0, rest).alias("_rest"))
 
 
+def _with_rarer(rows: DataFrame, rarer: DataFrame) -> DataFrame:
+    """``rows`` and ``_more``: their cells under rarer names of fields that have columns, as ``one`` and ``cell``, in order of use."""
+    rows = cut(rows.withColumn("_id", F.monotonically_increasing_id()))
+    cells = rows.select("_id", F.posexplode("_c").alias("_at", "cell")).withColumn("field", F.col("cell.name"))
+    found = sized_join(cells, rarer, ["field"]).groupBy("_id").agg(F.sort_array(F.collect_list(F.struct((-F.col("n")).alias("n"), "field", "_at", "one", "cell"))).alias("_more"))
+    found = found.select("_id", F.transform("_more", lambda x: F.struct(x["one"].alias("one"), x["cell"].alias("cell"))).alias("_more"))
+    none = F.array().cast(f"array<struct<one:string,cell:{CELLS[6:-1]}>>")
+    return rows.join(found, "_id", "left").withColumn("_more", F.coalesce("_more", none)).drop("_id")
+
+
 def _named(name: str) -> Column:
     return F.filter("_c", lambda x: x["name"] == name)
 

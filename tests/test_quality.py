@@ -400,6 +400,57 @@ def test_rare_fields_are_kept_by_name(spark, monkeypatch):
     assert {r.file_no: [tuple(x) for x in r["_rest"]] for r in out.collect()} == {k: [(f"key{k}", str(k))] for k in range(6)}
 
 
+def test_rare_names_count_like_others(spark, monkeypatch):
+    """Names beyond the most used ones are told apart, joined and put into columns as the others are."""
+    rows = []
+    for k in range(60):
+        body = {"id": k, "kind": "x y", ("row_count" if k < 50 else "rowCount"): k}
+        # a rare pair that stands side by side shows that left and right exclude each other
+        if k % 4 == 0:
+            body |= {"left_weight": k, "right_weight": k}
+        body |= {"left_depth": k} if k % 2 else {"right_depth": k}
+        # words that take each other's place in several files mean the same
+        body |= {"source_at": k} if k % 3 else {"origin_at": k}
+        body |= {"source_zone_no": k} if k % 5 else {"origin_zone_nr": k}
+        rows.append((k, "s", at(k), 1, json.dumps(body)))
+    df = spark.createDataFrame(rows, LINES)
+
+    def found():
+        return (
+            Counter(map(tuple, drift.changes(df).collect())),
+            Counter((r.field, *map(tuple, (r.names, r.types)), r.n_lines, r.first_file) for r in drift.alternatives(df).collect()),
+        )
+
+    want = found()
+    assert not any(c == "renamed" and f.endswith("depth") for _, c, f in want[0]) and (50, "renamed", "rowCount") in want[0]
+    monkeypatch.setattr(drift, "MOST_NAMES", 3)
+    assert found() == want
+    out = {r.file_no: r for r in drift.one_table(df).collect()}
+    assert [r for r in out[0].asDict() if r in ("id", "kind", "row_count", "rowCount")] == ["id", "kind", "row_count"]
+    assert (out[7].row_count, out[55].row_count) == (7, 55)
+    assert all("rowCount" not in [x["name"] for x in r["_rest"] or ()] for r in out.values()) and "left_depth" in [x["name"] for x in out[55]["_rest"]]
+
+
+def test_linked_names(spark, monkeypatch):
+    dice = random.Random(8)
+    links = [(f"c{k:03}", f"c{k + 1:03}") for k in range(70)] + [(f"n{dice.randrange(90)}", f"n{dice.randrange(90)}") for _ in range(60)]
+    dice.shuffle(links)
+    want: dict[str, set[str]] = {}
+    for u, v in links:
+        if u != v:
+            group = want.get(u, {u}) | want.get(v, {v})
+            want |= dict.fromkeys(group, group)
+    got = {r.field: r.root for r in drift.components(spark.createDataFrame(links, "u string, v string")).collect()}
+    assert got == {n: min(g) for n, g in want.items()}
+    # in the driver and by joins
+    lines = {n: dice.randrange(5) for n in want}
+    fields = spark.createDataFrame([(1, n, k) for n, k in lines.items()], "file_no bigint, field string, n_lines bigint")
+    for most in (scale.BROADCAST_BYTES, 0):
+        monkeypatch.setattr(scale, "BROADCAST_BYTES", most)
+        got = {r.field: r.one for r in drift.one_names(fields, spark.createDataFrame(links, "old string, new string")).collect()}
+        assert got == {n: min(g, key=lambda x: (-lines[x], x)) for n, g in want.items()}
+
+
 def test_nested_alternatives(spark):
     bodies = ['{"a": {"b": [1, "x", {"c": 1.5}], "d": null}}', '{"a": {"b": 7}}', '{"a": "text"}', '{"a": {"b": [[true]]}}', "{'a': 1}", '{"a": 1', None]
     rows = [(k, "s", at(k), 1, b) for k, b in enumerate(bodies)]
